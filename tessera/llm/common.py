@@ -1,4 +1,4 @@
-"""What the operators share: reading, cutting lineage, and size-checked broadcasts."""
+"""What the operators share: reading, cutting lineage, row keys, and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -7,12 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 #: A side of a join is broadcast only if it has been counted and holds at most so many rows.
 BROADCAST_ROWS = 1_000_000
+#: Column that tells rows apart by id and text; repeated rows have the same.
+ROW_KEY = "__row_key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,3 +39,12 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     """
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= limit else df
+
+
+def with_row_key(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Add a 64-bit key of (id, text): never null, so rows with null ids or texts join too."""
+    return df.withColumn(ROW_KEY, F.xxhash64(F.col(id_col), F.col("text")))
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, packing
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
+    "op4_best_fit_packing": packing.query,
     "op7_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
