@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_score, packing, toxicity
+from . import decontaminate, exact_dedup, langid, lm_score, packing, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_lm_score": lm_score.query,
     "op4_best_fit_packing": packing.query,
+    "op5_language_id": langid.query,
     "op6_toxicity": toxicity.query,
     "op7_exact_dedup": exact_dedup.query,
 }
