@@ -19,16 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there on.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where the cluster names none
-    (a local test session) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a temporary one only where it names none (in tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there on."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -44,7 +46,3 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
 def with_row_key(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Add a 64-bit key of (id, text): never null, so rows with null ids or texts join too."""
     return df.withColumn(ROW_KEY, F.xxhash64(F.col(id_col), F.col("text")))
-
-
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, lm_score, packing, toxicity
+from . import decontaminate, exact_dedup, langid, lm_score, near_dup, packing, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_ngram_jaccard": near_dup.query,
     "op3_lm_score": lm_score.query,
     "op4_best_fit_packing": packing.query,
     "op5_language_id": langid.query,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op2_ngram_jaccard": near_dup.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
