@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import copy
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from .operators import highlight as H
 from .operators.index import Index, empty_postings, last_write
 from .plans import search as P
 from .schema import PositionEncoding, SearchMode
-from .session import reachable
+from .session import cut, reachable
 from .sources import snapshot as Snap
 
 _DOCS = "index_name string, doc_id {id}, content string, indexed boolean, seq long"
@@ -87,8 +86,7 @@ class SearchIndex:
         """Remove (index_name, doc_id); ids that aren't there are left out."""
         ids = ids.select("index_name", F.col("doc_id").cast(self.id_type).alias("doc_id")).distinct()
         there = ids.join(self._index.documents, ["index_name", "doc_id"], "left_semi")
-        _checkpoint_folder(self.spark)
-        there = there.checkpoint()
+        there = cut(there)
         self._index = self._index.remove(there)
         self._changed(there, "deleted")
 
@@ -104,9 +102,8 @@ class SearchIndex:
 
     def compact(self) -> None:
         """Write the tables to the checkpoint folder and go on from there."""
-        _checkpoint_folder(self.spark)
-        self._index = Index(self._index.documents.checkpoint(), self._index.postings.checkpoint())
-        self._changes = self._changes.checkpoint()
+        self._index = Index(cut(self._index.documents), cut(self._index.postings))
+        self._changes = cut(self._changes)
         self._since = 0
 
     def take_dirty_and_deleted(self) -> tuple[DataFrame, DataFrame]:
@@ -209,9 +206,3 @@ class SearchIndex:
     def snapshot_version() -> int:
         return Snap.snapshot_version()
 
-
-def _checkpoint_folder(spark: SparkSession) -> None:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.analyzer import Analyzer
 from ..schema import DOMAINS, ORIGINAL, POSTINGS, PREFIX_DOMAINS, TOKENS
-from ..session import reachable
+from ..session import cut, reachable
 
 
 def _id(df: DataFrame) -> str:
@@ -72,6 +72,13 @@ class Index:
 
     documents: DataFrame
     postings: DataFrame
+    _kept: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+
+    def kept(self, name: str) -> DataFrame:
+        """``terms``, ``grams`` or ``stats``, written once and reused by all searches on this index."""
+        if name not in self._kept:
+            self._kept[name] = cut(getattr(self, name)())
+        return self._kept[name]
 
     @classmethod
     def build(cls, documents: DataFrame, analyzer: Analyzer | None = None) -> Index:
@@ -84,7 +91,7 @@ class Index:
 
     def dictionary(self) -> DataFrame:
         """Terms that fuzzy search may find."""
-        return self.terms().filter("in_aux").select("index_name", "domain", "term", "n_chars", "df")
+        return self.kept("terms").filter("in_aux").select("index_name", "domain", "term", "n_chars", "df")
 
     def grams(self) -> DataFrame:
         """(index_name, domain, gram, term): distinct n-grams of the dictionary's terms."""

@@ -8,6 +8,8 @@ answer is that of its first sufficient route.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions import text as T
 from ..functions.analyzer import Analyzer
 from ..operators import scoring as S
 from ..operators.index import Index, tokens
+from ..session import cut
 from ..schema import DOMAINS, FULL, FULL_PREFIX, FUZZY_PENALTY, INITIALS, INITIALS_PREFIX, MATCHED, MAX_CANDIDATES, MAX_LENGTH_GAP, ORIGINAL, PREFIX_DOMAINS, SearchMode
 
 _KEY = ["query_id", "index_name"]
@@ -47,8 +50,8 @@ def bm25_search(index: Index, q: DataFrame, domain: str) -> DataFrame:
     """Exact terms in one domain."""
     wanted = q.select("index_name", "term").distinct()
     lists = index.postings.filter(F.col("domain") == domain).drop("domain").join(wanted, ["index_name", "term"], "left_semi")
-    df = lists.groupBy("index_name", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = index.stats().filter(F.col("domain") == domain).select("index_name", "n", "avgdl")
+    df = index.kept("terms").filter(F.col("domain") == domain).select("index_name", "term", "df")
+    stats = index.kept("stats").filter(F.col("domain") == domain).select("index_name", "n", "avgdl")
     # available: query tokens, with repeats, that have postings
     views = q.join(df, ["index_name", "term"]).withColumn("available", F.count(F.lit(1)).over(Window.partitionBy(*_KEY))).join(stats, "index_name")
     part = S.bm25(F.col("tf"), _length(domain), F.col("avgdl"), S.idf(F.col("n"), F.col("df"))) * DOMAINS[domain].weight
@@ -70,7 +73,7 @@ def fuzzy_candidates(index: Index, q: DataFrame, domain: str) -> DataFrame:
     aren't in the dictionary, scan it.  Ties go to the lesser term.
     """
     dictionary = index.dictionary().filter(F.col("domain") == domain).select("index_name", F.col("term").alias("candidate"))
-    grams = index.grams().filter(F.col("domain") == domain).select("index_name", "gram", F.col("term").alias("candidate"))
+    grams = index.kept("grams").filter(F.col("domain") == domain).select("index_name", "gram", F.col("term").alias("candidate"))
     tokens_ = q.select(*_KEY, "q_idx", "term")
     place = Window.partitionBy(*_KEY, "q_idx")
     near = F.abs(F.length("candidate") - F.length("term")) <= MAX_LENGTH_GAP
@@ -101,8 +104,8 @@ def fuzzy_search(index: Index, q: DataFrame, domain: str, allow_non_ascii: bool
     available = found.groupBy(*_KEY).agg(F.count_distinct("q_idx").alias("available"))
     wanted = found.select("index_name", F.col("candidate").alias("term")).distinct()
     lists = index.postings.filter(F.col("domain") == domain).drop("domain").join(wanted, ["index_name", "term"], "left_semi")
-    df = lists.groupBy("index_name", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = index.stats().filter(F.col("domain") == domain).select("index_name", "n", "avgdl")
+    df = index.kept("terms").filter(F.col("domain") == domain).select("index_name", "term", "df")
+    stats = index.kept("stats").filter(F.col("domain") == domain).select("index_name", "n", "avgdl")
     views = found.drop("term").withColumnRenamed("candidate", "term").join(df, ["index_name", "term"]).join(stats, "index_name")
     part = S.bm25(F.col("tf"), _length(domain), F.col("avgdl"), S.idf(F.col("n"), F.col("df"))) * (DOMAINS[domain].weight * FUZZY_PENALTY) * F.col("similarity")
     rows = lists.join(views, ["index_name", "term"]).withColumn("component", part).filter("component > 0")
@@ -120,9 +123,11 @@ def _ids(hits: DataFrame) -> DataFrame:
     return hits.select(*_KEY).distinct()
 
 
-def either(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The first's hits, and the second's for queries that the first has none for."""
-    return first.unionByName(second.join(_ids(first), _KEY, "left_anti"))
+def either(first: DataFrame, second: Callable[[DataFrame], DataFrame], q: DataFrame) -> DataFrame:
+    """The first's hits, and the second's for the queries that the first has none for."""
+    first = cut(first)
+    rest = q.join(_ids(first), _KEY, "left_anti")
+    return first if rest.isEmpty() else first.unionByName(second(rest))
 
 
 def satisfied(hits: DataFrame, q: DataFrame) -> DataFrame:
@@ -133,40 +138,48 @@ def satisfied(hits: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def pinyin_exact(index: Index, q: DataFrame) -> DataFrame:
-    return either(bm25_search(index, q, FULL), bm25_search(index, q, INITIALS))
+    return either(bm25_search(index, q, FULL), lambda rest: bm25_search(index, rest, INITIALS), q)
 
 
 def pinyin_prefix(index: Index, q: DataFrame) -> DataFrame:
-    return either(bm25_search(index, q, FULL_PREFIX), bm25_search(index, q, INITIALS_PREFIX))
+    return either(bm25_search(index, q, FULL_PREFIX), lambda rest: bm25_search(index, rest, INITIALS_PREFIX), q)
 
 
 def pinyin_search(index: Index, q: DataFrame) -> DataFrame:
     q = q.filter("ascii")
-    return either(pinyin_exact(index, q), pinyin_prefix(index, q))
+    return either(pinyin_exact(index, q), lambda rest: pinyin_prefix(index, rest), q)
 
 
 def fuzzy_pinyin(index: Index, q: DataFrame) -> DataFrame:
-    return either(fuzzy_search(index, q, FULL), fuzzy_search(index, q, INITIALS))
+    return either(fuzzy_search(index, q, FULL), lambda rest: fuzzy_search(index, rest, INITIALS), q)
 
 
 def auto_search(index: Index, q: DataFrame) -> DataFrame:
     """Exact; then, for queries with other than ASCII letters and digits, fuzzy and no more; for the
-    others pinyin prefixes, pinyin, fuzzy and fuzzy pinyin, until one suffices."""
-    q = q.persist()
-    exact = bm25_search(index, q, ORIGINAL).persist()
-    done = satisfied(exact, q).persist()
-    out = exact.join(done, _KEY, "left_semi")
-    rest = q.join(done, _KEY, "left_anti").persist()
-    out = out.unionByName(fuzzy_search(index, rest.filter("not ascii"), ORIGINAL, allow_non_ascii=True))
+    others pinyin prefixes, pinyin, fuzzy and fuzzy pinyin, until one suffices.
+
+    Each route's hits are written before the next, and a route without queries left isn't run."""
+    hits = cut(bm25_search(index, q, ORIGINAL))
+    done = satisfied(hits, q)
+    out = hits.join(done, _KEY, "left_semi")
+    rest = cut(q.join(done, _KEY, "left_anti"))
+    foreign = rest.filter("not ascii")
+    if not foreign.isEmpty():
+        out = out.unionByName(fuzzy_search(index, foreign, ORIGINAL, allow_non_ascii=True))
     rest = rest.filter("ascii")
     for route in (pinyin_prefix, pinyin_exact):
-        hits = route(index, rest).persist()
-        done = satisfied(hits, rest).persist()
+        if rest.isEmpty():
+            return out
+        hits = cut(route(index, rest))
+        done = satisfied(hits, rest)
         out = out.unionByName(hits.join(done, _KEY, "left_semi"))
-        rest = rest.join(done, _KEY, "left_anti").persist()
-    hits = fuzzy_search(index, rest, ORIGINAL).persist()
+        rest = cut(rest.join(done, _KEY, "left_anti"))
+    if rest.isEmpty():
+        return out
+    hits = cut(fuzzy_search(index, rest, ORIGINAL))
     out = out.unionByName(hits)
-    return out.unionByName(fuzzy_pinyin(index, rest.join(_ids(hits), _KEY, "left_anti")))
+    rest = cut(rest.join(_ids(hits), _KEY, "left_anti"))
+    return out if rest.isEmpty() else out.unionByName(fuzzy_pinyin(index, rest))
 
 
 def search(index: Index, queries: DataFrame, mode: SearchMode = SearchMode.AUTO, analyzer: Analyzer | None = None) -> DataFrame:
@@ -174,7 +187,7 @@ def search(index: Index, queries: DataFrame, mode: SearchMode = SearchMode.AUTO,
     every = F.col("text").isin("*", "")
     all_ = queries.filter(every).select(F.col("query_id").cast("string").alias("query_id"), "index_name").join(index.match_all(), "index_name")
     all_ = all_.select(*_KEY, "doc_id", "score", F.array().cast(MATCHED).alias("matched_terms"))
-    q = query_tokens(queries.filter(~every), analyzer or Analyzer())
+    q = cut(query_tokens(queries.filter(~every), analyzer or Analyzer()))
     run = {
         SearchMode.EXACT: lambda: bm25_search(index, q, ORIGINAL),
         SearchMode.PINYIN: lambda: pinyin_search(index, q),
