@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,25 @@ BROADCAST_ROWS = 1_000_000
 ROW_KEY = "__row_key"
 
 
+#: Texts differ in length a thousandfold: batches to Python are bounded by bytes, not only by rows.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; from here on the session's batches to Python hold BATCH_BYTES at most."""
+    if _bytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bytes(size: str) -> int:
+    """Bytes of a size as Spark writes it; a negative one is no bound."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)i?b?", size.strip().lower()).groups()
+    n = int(number) << 10 * " kmgt".index(unit or " ")
+    return n if n > 0 else 1 << 62
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one only where it names none (in tests)."""
     sc = spark.sparkContext
