@@ -28,18 +28,21 @@ from .common import table
 from .license_rules import RULES, Rule
 
 _SEPARATORS = re.compile(r"[\s*#/]+")
+#: Letters that patterns take for i and s when they ignore case, but that lower() doesn't turn into them.
+_CASELESS = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s"})
 
 
 def _flat(text: str) -> str:
     """Lower case, with every run of white space and comment marks as one blank."""
-    return _SEPARATORS.sub(" ", text.lower())
+    return _SEPARATORS.sub(" ", text.translate(_CASELESS).lower())
 
 
 @lru_cache(maxsize=1)
 def _gate() -> str:
     words = sorted({_flat(k) for r in RULES for k in r.keywords})
     words = [w for w in words if not any(other in w for other in words if other != w)]
-    return "|".join(r"[\s*#/]+".join(re.sub(r"([.()+|^$?\[\]{}])", r"\\\1", part) for part in w.split(" ")) for w in words)
+    escaped = [[re.sub(r"([.()+|^$?\[\]{}])", r"\\\1", part).replace("i", "[i\u0131]").replace("s", "[s\u017f]") for part in w.split(" ")] for w in words]
+    return "|".join(r"[\s*#/]+".join(parts) for parts in escaped)
 
 
 @lru_cache(maxsize=1)
