@@ -28,6 +28,8 @@ from .common import table
 from .license_rules import RULES, Rule
 
 _SEPARATORS = re.compile(r"[\s*#/]+")
+#: The same in RE2, whose \s is ASCII without \v.
+_RE2_SEPARATORS = r"[\s\v\p{Z}\x1c-\x1f\x{85}*#/]+"
 #: Letters that patterns take for i and s when they ignore case, but that lower() doesn't turn into them.
 _CASELESS = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s"})
 
@@ -42,7 +44,7 @@ def _gate() -> str:
     words = sorted({_flat(k) for r in RULES for k in r.keywords})
     words = [w for w in words if not any(other in w for other in words if other != w)]
     escaped = [[re.sub(r"([.()+|^$?\[\]{}])", r"\\\1", part).replace("i", "[i\u0131]").replace("s", "[s\u017f]") for part in w.split(" ")] for w in words]
-    return "|".join(r"[\s*#/]+".join(parts) for parts in escaped)
+    return "|".join(_RE2_SEPARATORS.join(parts) for parts in escaped)
 
 
 @lru_cache(maxsize=1)

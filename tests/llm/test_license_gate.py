@@ -80,3 +80,11 @@ def test_scan_equals_rules_without_keywords(spark):
 def test_spellings(spark, text, licence):
     assert [d[2].licence for d in license_scan.detections(text)] == [licence]
     assert len(scanned(spark, [(1, text)])) == 1
+
+
+def test_gate_takes_the_separators_of_the_rules(spark):
+    blanks = [chr(c) for c in range(0x110000) if re.fullmatch(license_scan._SEPARATORS, chr(c))]
+    assert {"\u00a0", "\v", "\x1c", "\x85", "\u3000"} <= set(blanks)
+    rows = [(k, f"All{b}rights{b}reserved") for k, b in enumerate(blanks)]
+    want = {(i, r.number, s, e) for i, t in rows for s, e, r in without_keywords(t)}
+    assert scanned(spark, rows) == want and len(want) == len(rows)
