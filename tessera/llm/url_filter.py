@@ -1,6 +1,6 @@
 """URL filters that follow redirects: a decision on one address holds for all its aliases.
 
-Edges join a page's address with the target of its canonical link and of its refresh redirect
+Edges join a page's address with the targets of all its canonical links and refresh redirects
 (found in the html), and addresses that differ only in what doesn't name a page: scheme, ``www.``
 and ``m.``, default ports, fragments, tracking parameters and a trailing slash.  Connected
 components over these edges are the equivalence classes.  Rules match addresses by host (and its
@@ -29,7 +29,7 @@ BLOCK_PARTS = ("casino", "free-bets", "cheap-pills", "porn", "xxx", "warez", "pa
 ALLOW_HOSTS = ("casino-history.example.org", "archive.example.org")
 TRACKING = r"utm_[a-z]+|gclid|fbclid|ref|mc_cid|mc_eid"
 
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?\s*canonical\b)[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*(?:"[^">]*?(?<![\w-])|'[^'>]*?(?<![\w-])|)canonical\b)[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b)[^>]*?\bcontent\s*=\s*["']?[^>]*?\burl\s*=\s*['"]?\s*([^"'\s>]+)"""
 
 
@@ -64,9 +64,10 @@ def absolute(target: Column, base: Column) -> Column:
 def redirects(pages: DataFrame) -> DataFrame:
     """(u, v): normal addresses of pages and of what they point to."""
     low = F.lower("html")
-    canonical = F.when(low.contains("canonical"), F.regexp_extract("html", _CANONICAL, 1))
-    refresh = F.when(low.contains("http-equiv"), F.regexp_extract("html", _REFRESH, 1))
-    found = pages.filter("url is not null and html is not null").select("url", F.explode(F.array(canonical, refresh)).alias("target"))
+    none = F.array().cast("array<string>")
+    canonical = F.when(low.contains("canonical"), F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1))).otherwise(none)
+    refresh = F.when(low.contains("http-equiv"), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1))).otherwise(none)
+    found = pages.filter("url is not null and html is not null").select("url", F.explode(F.concat(canonical, refresh)).alias("target"))
     found = found.filter("target is not null and target <> ''")
     return found.select(normal(F.col("url")).alias("u"), normal(absolute(F.col("target"), F.col("url"))).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
 
