@@ -288,11 +288,19 @@ WITH runs AS (SELECT item_id, unnest(regexp_extract_all(text, '[\p{Latin}0-9]+|[
      placed AS (SELECT item_id, strip_accents(lower(run)) AS term, sum(strlen(run)) OVER (PARTITION BY item_id ORDER BY k) - strlen(run) AS start FROM runs)
 SELECT item_id AS doc_id, term, string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR), ' ' ORDER BY start) AS starts FROM placed WHERE regexp_matches(term, '^[\p{Latin}0-9]') GROUP BY ALL""")
 def forward_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "benchmark", "item_id", "text")
+    return _starts(corpus(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "benchmark", "item_id", "text"))
+
+
+def _starts(docs: DataFrame) -> DataFrame:
     found = X.forward_positions(X.tokens(docs, Analyzer()))
     return found.select("doc_id", "term", F.array_join(F.transform("spans", lambda s: s["start"].cast("string")), " ").alias("starts"))
 
 
+@_register("forward_positions_documents", ORACLES["forward_positions"].replace("item_id", "doc_id").replace("benchmark", "documents"))
+def forward_positions_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _starts(corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), "documents", "doc_id", "text"))
+
+
 # changes
 
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame]:
