@@ -1,20 +1,18 @@
-"""What the operators share: reading, cutting lineage, row keys, and size-checked broadcasts."""
+"""What the operators share: reading, cutting lineage, column names, row keys, and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import re
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reachable
+from ..session import reachable, shared_folder
 
 #: A side of a join is broadcast only if it has been counted and holds at most so many rows.
 BROADCAST_ROWS = 1_000_000
-#: Column that tells rows apart by id and text; repeated rows have the same.
-ROW_KEY = "__row_key"
-
+#: Texts are broadcast only if they come to so many bytes at most.
+BROADCAST_BYTES = 16 << 20
 
 #: Texts differ in length a thousandfold: batches to Python are bounded by bytes, not only by rows.
 BATCH_BYTES = 8 << 20
@@ -36,12 +34,8 @@ def _bytes(size: str) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none (in tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
+    """The shared folder that the cluster names."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,7 +45,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of ``df`` if it is small; beyond the limit Spark's own choice holds.
+    """Hint a broadcast of ``df``, whose rows are of fixed width, if it holds few; beyond the limit Spark's own choice holds.
 
     ``df`` should be cheap to count (checkpointed): the count is the size check.
     """
@@ -59,6 +53,35 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     return F.broadcast(df) if n <= limit else df
 
 
-def with_row_key(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Add a 64-bit key of (id, text): never null, so rows with null ids or texts join too."""
-    return df.withColumn(ROW_KEY, F.xxhash64(F.col(id_col), F.col("text")))
+def small_texts(df: DataFrame, column: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of ``df`` if its texts in ``column`` and its rows come to few bytes."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(column) + 64), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [quoted(c) for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each led by as many underscores as no column of ``df`` has (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    lead = "__"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def type_of(df: DataFrame, name: str) -> str:
+    """A column's type as it's written in a schema."""
+    return df.schema[name].dataType.simpleString()
+
+
+def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
+    """A 64-bit key of (id, text): never null, so rows with null ids or texts join too; repeated rows have the same."""
+    return F.xxhash64(F.col(id_col), F.col(text))

@@ -1,14 +1,16 @@
 """Vectorised word scanning over Arrow string columns.
 
-A word is a maximal run of ASCII letters, ASCII digits and bytes of 0x80 and up (so every
-non-ASCII letter counts).  Callers lower-case in the JVM (``lower(text)``) before the column
-reaches Python, so case folding follows Unicode.  All work is done on slices of a few MB:
+A word is a maximal run of letters, marks and digits of any script; of the scripts in ``ALONE``,
+which are written without blanks, every character is a word.  All else (blanks, punctuation of any
+script, curly quotes, symbols, format characters) parts words.  Callers lower-case in the JVM
+(``lower(text)``) before the column reaches Python, so case folding follows Unicode.  All work is done on slices of a few MB:
 memory of a worker does not depend on the length of a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,6 +27,25 @@ for _c in range(256):
     if _c >= 0x80 or chr(_c).isalnum():
         _WORD[_c] = ord(chr(_c).lower()) if _c < 0x80 else _c
 
+#: Scripts of which every character is a word.
+ALONE = "".join(rf"\p{{{x}}}" for x in "Han Hiragana Katakana Hangul Thai Lao Khmer Myanmar".split())
+#: The same words as a regular expression (RE2's and the ``regex`` module's).
+WORD = rf"[{ALONE}]|(?:" + "|".join(rf"[^\P{{{x}}}{ALONE}]" for x in "LMN") + ")+"
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Of every code point: 0 between words, 1 part of a word, 2 a word alone."""
+    import regex
+
+    points = "".join(map(chr, [*range(0xD800), *[0x20] * 0x800, *range(0xE000, 0x110000)]))
+    out = np.zeros(len(points), np.uint8)
+    for pattern, kind in ((r"[\p{L}\p{M}\p{N}]+", 1), (f"[{ALONE}]+", 2)):
+        for m in regex.finditer(pattern, points):
+            out[m.start() : m.end()] = kind
+    return out
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -80,6 +101,25 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         at = to
 
 
+def _part_wide(raw: np.ndarray, x: np.ndarray, edge: np.ndarray) -> None:
+    """Clear the bytes of non-ASCII characters that part words, and mark an edge around those that stand alone."""
+    lead = np.flatnonzero(raw >= 0xC0)
+    if not len(lead):
+        return
+    last = len(raw) - 1
+    b = [raw[np.minimum(lead + k, last)].astype(np.int32) & 0x3F for k in range(4)]
+    size = np.where(raw[lead] < 0xE0, 2, np.where(raw[lead] < 0xF0, 3, 4))
+    two, three = (b[0] & 0x1F) << 6 | b[1], (b[0] & 0x0F) << 12 | b[1] << 6 | b[2]
+    point = np.where(size == 2, two, np.where(size == 3, three, (b[0] & 0x07) << 18 | b[1] << 12 | b[2] << 6 | b[3]))
+    kind = _classes()[np.minimum(point, 0x10FFFF)]
+    for k in range(4):
+        at = lead[(kind == 0) & (size > k)] + k
+        x[at[at <= last]] = 0
+    alone = kind == 2
+    edge[lead[alone]] = True
+    edge[np.minimum(lead[alone] + size[alone], last + 1)] = True
+
+
 def scan_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     """Hash every word of the rows that ``offsets`` delimits in ``raw``."""
     base = int(offsets[0])
@@ -89,9 +129,10 @@ def scan_words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     if not n:
         zero = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), zero, zero)
-    w = x != 0
     edge = np.zeros(n + 1, bool)
     edge[rel] = True
+    _part_wide(raw[base : int(offsets[-1])], x, edge)
+    w = x != 0
     first = w.copy()
     first[1:] &= ~w[:-1] | edge[1:n]
     last = w.copy()

@@ -2,13 +2,14 @@
 
 import itertools
 import random
-import re
+import time
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 
-from tessera.llm import components, decontaminate, exact_dedup, near_dup
+from tessera.llm import components, decontaminate, exact_dedup, near_dup, textops
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ROOT = "/root/testdata/sf0.001"
@@ -22,8 +23,12 @@ def words(rng, n, kinds=5000):
     return [f"w{rng.randrange(kinds)}" for _ in range(n)]
 
 
+def cut(text):
+    return regex.findall(textops.WORD, text.lower())
+
+
 def grams(text, n=near_dup.N):
-    w = re.findall(r"(?:[0-9a-z]|[^\x00-\x7F])+", text.lower())
+    w = cut(text)
     return set(zip(*[w[k:] for k in range(n)]))
 
 
@@ -41,45 +46,64 @@ def corpus():
     return rows
 
 
-def brute_pairs(rows):
-    sets = {}
-    for i, t in rows:
-        if i is not None and t is not None and grams(t):
-            sets.setdefault(i, []).append(grams(t))
-    out = {}
-    for a, b in itertools.combinations(sorted(sets), 2):
-        j = max(len(x & y) / len(x | y) for x in sets[a] for y in sets[b])
-        if j >= near_dup.THRESHOLD:
-            out[a, b] = round(j, 6)
+def brute_links(rows, threshold=near_dup.THRESHOLD):
+    """{(id, text): linked (id, text)} of distinct rows."""
+    docs = sorted(set(rows), key=str)
+    sets = [grams(t) if t is not None else set() for _, t in docs]
+    out = {d: set() for d in docs}
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12:
+            out[docs[a]].add(docs[b])
+            out[docs[b]].add(docs[a])
     return out
 
 
-def test_pairs_equal_brute_force(spark, corpus):
-    got = near_dup.pairs(table(spark, corpus)).collect()
-    assert {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in got} == brute_pairs(corpus)
-
-
-def test_one_of_each(spark, corpus):
+def brute_classes(links):
+    class_of = {}
+    for d in links:
+        seen, todo = {d}, [d]
+        while todo:
+            for e in links[todo.pop()] - seen:
+                seen.add(e)
+                todo.append(e)
+        class_of[d] = min((i for i, _ in seen if i is not None), default=None)
+    return class_of
+
+
+@pytest.mark.parametrize("tile_rows, tile_grams", [(512, 2_000_000), (3, 2_000_000), (512, 500)])
+def test_similar_equals_brute_force(spark, corpus, monkeypatch, tile_rows, tile_grams):
+    """In one tile a group, and with groups and blocks parted in bands and chunks."""
+    monkeypatch.setattr(near_dup, "TILE_ROWS", tile_rows)
+    monkeypatch.setattr(near_dup, "TILE_GRAMS", tile_grams)
+    got = sorted(map(tuple, near_dup.similar(table(spark, corpus)).collect()), key=str)
+    links = brute_links(corpus)
+    classes = brute_classes(links)
+    assert got == sorted([(i, classes[i, t] if links[i, t] else i, len(links[i, t])) for i, t in links], key=str)
+
+
+@pytest.mark.parametrize("tile_rows", [512, 3])
+def test_one_of_each(spark, corpus, monkeypatch, tile_rows):
+    monkeypatch.setattr(near_dup, "TILE_ROWS", tile_rows)
     docs = table(spark, corpus).withColumnRenamed("source", "key")
     got = near_dup.one_of_each(docs)
     assert got.columns == docs.columns
-    parent = {}
+    links = brute_links(corpus)
+    classes = brute_classes(links)
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    want = {(i, t) for i, t in links if not links[i, t] or i == classes[i, t]}
+    assert sorted(kept, key=str) == sorted(want, key=str)
 
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
 
-    for a, b in brute_pairs(corpus):
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    kept = sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None)
-    assert kept == sorted({i for i, _ in corpus if i is not None and (i not in parent or find(i) == i)})
-    assert not [r for r in got.collect() if r["doc_id"] is None]  # its text is that of 3
+def test_large_group_of_near_copies(spark):
+    """300 different texts that are all near copies of one another: 299 links each, in one class."""
+    words_ = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(words_[: k % 100] + [f"x{k}"] + words_[k % 100 + 1 :])) for k in range(300)]
+    got = near_dup.similar(table(spark, rows)).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 299)} and len(got) == 300
 
 
 def test_near_dup_empty(spark):
-    assert near_dup.pairs(table(spark, [])).isEmpty()
+    assert near_dup.similar(table(spark, [])).isEmpty()
     assert near_dup.one_of_each(table(spark, [])).isEmpty()
 
 
@@ -118,7 +142,6 @@ def test_components(spark):
 
 def brute_spans(docs, items):
     out = set()
-    cut = lambda t: re.findall(r"(?:[0-9a-z]|[^\x00-\x7F])+", t.lower())
     for i, t in docs:
         for j, u in items:
             if t is None or u is None:
@@ -158,6 +181,57 @@ def test_decontaminate(spark):
     assert decontaminate.clean(table_, bench.limit(0)).count() == len(docs)
 
 
+PASSAGES = {
+    "chinese": "\u4f60\u597d\u4e16\u754c\u8fd9\u662f\u4e00\u6bb5\u7528\u6765\u6d4b\u8bd5\u7684\u4e2d\u6587\u6587\u672c\uff0c\u5b83\u6ca1\u6709\u7a7a\u683c\u3002" * 3,
+    "japanese": "\u3053\u308c\u306f\u6771\u4eac\u3067\u66f8\u304b\u308c\u305f\u30c6\u30b9\u30c8\u306e\u6587\u7ae0\u3067\u3059\u3002\u7a7a\u767d\u306f\u3042\u308a\u307e\u305b\u3093" * 3,
+    "thai": "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22\u0e44\u0e21\u0e48\u0e21\u0e35\u0e0a\u0e48\u0e2d\u0e07\u0e27\u0e48\u0e32\u0e07\u0e23\u0e30\u0e2b\u0e27\u0e48\u0e32\u0e07\u0e04\u0e33" * 3,
+    "quoted": "\u201cWe don\u2019t know\u201d, she said \u2014 and nobody else in that long \u00abhouse\u00bb ever knew what it was for",
+}
+
+
+@pytest.mark.parametrize("name", PASSAGES)
+def test_passages_in_every_script(spark, name):
+    passage = PASSAGES[name]
+    plain = passage.translate(str.maketrans("\u201c\u201d\u2019\u2014\u00ab\u00bb", "\"\"'-\"\""))
+    docs = table(spark, [(1, "before it " + plain + " after it"), (2, "clean text of no interest to anyone at all " * 3), (3, passage + "!"), (4, plain)])
+    bench = spark.createDataFrame([(9, passage)], "item_id long, text string")
+    spans = {}
+    for r in decontaminate.shared_spans(docs, bench).collect():
+        spans[r["doc_id"]] = max(spans.get(r["doc_id"], 0), r["n_words"])
+    assert spans == dict.fromkeys((1, 3, 4), len(cut(passage)))
+    classes = {r["doc_id"]: r["class_id"] for r in near_dup.similar(docs).collect()}
+    assert classes[3] == classes[4] and classes[2] == 2
+
+
+def test_words():
+    texts = ["Don\u2019t stop", "a\u4f60b\u597d", "\u00e9t\u00e9 \u00ab na\u00efve \u00bb", "", "\u0e44\u0e17\u0e22", "x\u200by", "\U00020000\U0001f600z", "e\u0301a", "\u043f\u0440\u0438\u0432\u0435\u0442, \u043c\u0438\u0440", "\uc548\ub155 1\u00bd"]
+    import pyarrow as pa
+
+    raw, offsets = textops.string_parts(pa.array([t.lower() for t in texts]))
+    found = textops.scan_words(raw, offsets)
+    for r, t in enumerate(texts):
+        own = range(found.offsets[r], found.offsets[r + 1])
+        assert [bytes(raw[found.starts[k] : found.ends[k]]).decode() for k in own] == cut(t)
+
+
+def test_repetitive_texts_in_linear_rows(spark):
+    """A text of one word 50,000 times against its like: every shift is a span; no row holds a whole text."""
+    began = time.time()
+    long = "so " * 50_000
+    docs, bench = table(spark, [(1, long), (2, "one two " * 3_000)]), spark.createDataFrame([(7, long), (8, "one two " * 2_000)], "item_id long, text string")
+    got = {tuple(r): c for *r, c in decontaminate.shared_spans(docs, bench).groupBy("doc_id", "item_id").count().collect()}
+    assert got == {(1, 7): 2 * (50_000 - decontaminate.MIN_WORDS) + 1, (2, 8): (6_000 - decontaminate.MIN_WORDS) // 2 + (4_000 - decontaminate.MIN_WORDS) // 2 + 1}
+    assert decontaminate.clean(docs, bench).isEmpty()
+    assert time.time() - began < 60
+
+
+def test_fingerprints_above_the_listing_limit(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_LISTED", 4)
+    docs, items = [(1, "so " * 40 + "end"), (2, "a b " * 20 + "so " * 15)], [(1, "so " * 20), (2, "b a " * 12)]
+    got = {tuple(r) for r in decontaminate.shared_spans(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_spans(docs, items)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(4)
     for _ in range(50):
