@@ -1,8 +1,8 @@
 """Language-model scoring: the marginal probability of a text over all its segmentations.
 
-An existing vocabulary gives the pieces and their order (its scores).  A piece's probability is
-its count in the whole corpus, smoothed by a prior that falls with the piece's place in the
-vocabulary:  p(piece) = (count + weight * prior) / (total + weight), prior ~ 1 / (place + 10).
+An existing vocabulary gives the pieces and their order (its scores).  By default a piece's probability
+is its count in the whole corpus, smoothed by a prior that falls with the piece's place in the
+vocabulary (``vocabulary_scores`` is that prior alone, without the corpus):  p(piece) = (count + weight * prior) / (total + weight), prior ~ 1 / (place + 10).
 Counts come from every document: words are counted over the corpus, each distinct word is cut
 by the vocabulary's own tokenizer and its pieces counted as often as the word occurs.
 
@@ -16,12 +16,14 @@ Defined results
 * null text: null scores, no words.  Empty or blank text: no words, log probability 0,
   null bits per byte.
 * repeated rows: scored alike, each counted in the statistics.  Ties can't occur.
-* very long texts and words: scored whole; the recursion's memory follows the batch's distinct words.
+* very long texts and words: scored whole.  The recursion of many words at once holds ``_LATTICE_CHARS``
+  characters at most, padding included; a longer word goes through a window of ``_BLOCK`` characters.
 * empty table: empty result.  Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,10 @@ from .pieces import VOCABULARY, distinct_words, processor, row_sums
 PRIOR_WEIGHT = 10_000.0
 #: Distinct words counted in one go before they are passed on.
 _FLUSH_WORDS = 2_000_000
-#: Characters of distinct words whose lattice is held at once.
-_LATTICE_CHARS = 200_000
+#: Rows times longest word of the lattices that are held at once; words of _LONG characters and fewer than _FEW rows go one by one.
+_LATTICE_CHARS, _LONG, _FEW = 200_000, 256, 16
+#: Characters of a long word whose pieces are looked up at once.
+_BLOCK = 1 << 15
 _MARK = "▁"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -100,6 +104,11 @@ def smoothed(pieces: np.ndarray, counts: np.ndarray, vocabulary: str, prior_weig
     return np.log(n + prior_weight * prior) - np.log(n.sum() + prior_weight)
 
 
+def vocabulary_scores(vocabulary: str = VOCABULARY) -> np.ndarray:
+    """Log probability of each piece from its place in the vocabulary alone."""
+    return smoothed(np.zeros(0, np.int64), np.zeros(0), vocabulary, PRIOR_WEIGHT)
+
+
 class Lattice:
     """The vocabulary as a hash table of code point strings, and the forward recursion."""
 
@@ -174,24 +183,23 @@ class Lattice:
         sizes = pc.utf8_length(marked).to_numpy().astype(np.int64)
         order = np.argsort(-sizes, kind="stable")
         out = np.empty(len(words))
-        ends = np.cumsum(sizes[order])
         at = 0
         while at < len(order):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _LATTICE_CHARS, side="right")))
-            part = order[at:to]
-            out[part] = self._forward(marked.take(pa.array(part)), sizes[part])
-            at = to
+            longest = int(sizes[order[at]])
+            part = order[at : at + max(1, _LATTICE_CHARS // longest)]
+            if longest > _LONG and len(part) < _FEW:
+                for k in part.tolist():
+                    out[k] = self._walk(marked[k].as_py())
+            else:
+                out[part] = self._forward(marked.take(pa.array(part)), sizes[part])
+            at += len(part)
         out[np.asarray(pc.equal(words, ""))] = 0.0
         return out
 
-    def _forward(self, words: pa.Array, sizes: np.ndarray) -> np.ndarray:
-        """Words in falling order of length."""
-        points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
-        n, starts, longest = len(points), np.cumsum(sizes) - sizes, int(sizes[0])
-        room = np.repeat(starts + sizes, sizes) - np.arange(n)
+    def _pieces(self, points: np.ndarray, room: np.ndarray, top: int) -> np.ndarray:
+        """Score of the piece of each size (row) that begins at each point (column); room: points left in its word."""
         sums, inverse = self._sums(points)
-        top = min(self.longest, longest)
-        score = np.full((top + 1, n), -np.inf)
+        score = np.full((top + 1, len(points)), -np.inf)
         for size in range(1, top + 1):
             if self.by_length[size]:
                 at = np.flatnonzero(room >= size)
@@ -200,6 +208,14 @@ class Lattice:
         if len(spelled):
             kinds, which = np.unique(points[spelled], return_inverse=True)
             score[1, spelled] = np.array([self.byte_scores[list(chr(p).encode("utf-8", "surrogatepass"))].sum() for p in kinds])[which]
+        return score
+
+    def _forward(self, words: pa.Array, sizes: np.ndarray) -> np.ndarray:
+        """Words in falling order of length."""
+        points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
+        n, starts, longest = len(points), np.cumsum(sizes) - sizes, int(sizes[0])
+        top = min(self.longest, longest)
+        score = self._pieces(points, np.repeat(starts + sizes, sizes) - np.arange(n), top)
         alpha = np.full((longest + 1, len(sizes)), -np.inf)
         alpha[0] = 0.0
         active = np.searchsorted(-sizes, -np.arange(longest + 1), side="right")
@@ -211,6 +227,24 @@ class Lattice:
             alpha[t, :m] = peak + np.log(np.exp(terms - peak).sum(axis=0))
         return alpha[sizes, np.arange(len(sizes))]
 
+    def _walk(self, word: str) -> float:
+        """One word of any length: the recursion needs the last ``longest`` values only."""
+        size, top = len(word), self.longest
+        ahead = [0.0] + [-math.inf] * top
+        for start in range(0, size, _BLOCK):
+            own = min(_BLOCK, size - start)
+            points = np.frombuffer(word[start : start + own + top].encode("utf-32-le", "surrogatepass"), np.uint32)
+            score = self._pieces(points, len(points) - np.arange(len(points)), top)[:, :own]
+            at, length = np.nonzero(~np.isneginf(score.T))
+            alpha = ahead + [-math.inf] * own
+            for i, n, s in zip(at.tolist(), length.tolist(), score[length, at].tolist()):
+                a, b = alpha[i] + s, alpha[i + n]
+                if b > a:
+                    a, b = b, a
+                alpha[i + n] = a if b == -math.inf else a + math.log1p(math.exp(b - a))
+            ahead = alpha[own : own + top + 1]
+        return ahead[0]
+
 
 def _scores(batches: Iterator[pa.RecordBatch], piece_logp: np.ndarray, vocabulary: str) -> Iterator[pa.RecordBatch]:
     lattice = Lattice(piece_logp, vocabulary)
