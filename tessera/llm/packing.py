@@ -6,14 +6,15 @@ rest.  The plan is made from the counts by length alone, the longest first: item
 into the fullest bins that still hold them, all bins alike in one step, and new bins are opened
 for what is left.  It has at most a few entries a length, whatever the corpus holds.  Documents
 then take the planned slots: the chunk of rank r among those of its length has the slot r of
-that length, found by a join on length and range of ranks.  Ranks come from counts by
-(length, bucket), so no partition holds a whole length.
+that length, found by a join on length and range of ranks.  Ranks follow a
+hash of the row; they come from counts by (length, bucket), a bucket being a range of hashes, so no
+partition holds a whole length and the ranks don't depend on the number of buckets.
 
 Defined results
 * null, empty or blank text: no tokens, no slot.
-* ties: equal lengths are ranked by a hash of the row, then doc_id; repeated rows get a slot each.
+* ties: equal lengths are ranked by a hash of doc_id, text and chunk; repeated rows get a slot each.
 * very long text: ``ceil(n / capacity)`` chunks, each in exactly one bin.
-* empty table: empty result.  Extra columns aren't read, whatever their names.
+* empty table: empty result.  Ids may be of any type.  Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, table
+from .common import cut, small_side, table, type_of
 from .pieces import VOCABULARY, token_counts
 
 CAPACITY = 2048
@@ -87,22 +88,22 @@ def _lengths(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, chunk, n_tokens, bin, start): where each chunk of each document goes."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "n_chars" if "n_chars" in docs.columns else "doc_id").alias("spread"), "text")
-    lengths = texts.mapInArrow(lambda batches: _lengths(batches, vocabulary), "doc_id long, spread long, n long").filter("n > 0")
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("spread"), "text")
+    lengths = texts.mapInArrow(lambda batches: _lengths(batches, vocabulary), f"doc_id {type_of(docs, 'doc_id')}, spread long, n long").filter("n > 0")
     chunks = cut(
         lengths.select("doc_id", "spread", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {capacity})")).alias("chunk")).select(
-            "doc_id", "spread", "chunk", F.least(F.lit(capacity), F.col("n") - F.col("chunk") * capacity).cast("int").alias("n_tokens")
+            "doc_id", F.xxhash64("spread", "chunk").alias("spread"), "chunk", F.least(F.lit(capacity), F.col("n") - F.col("chunk") * capacity).cast("int").alias("n_tokens")
         )
     )
     histogram = {r["n_tokens"]: r["count"] for r in chunks.groupBy("n_tokens").count().collect()}  # at most capacity rows
-    buckets = max(1, -(-max(histogram.values(), default=1) // BUCKET_ROWS))
-    chunks = chunks.withColumn("bucket", F.pmod(F.xxhash64("spread", "chunk"), F.lit(buckets)))
+    bits = max(0, -(-max(histogram.values(), default=1) // BUCKET_ROWS) - 1).bit_length()
+    chunks = chunks.withColumn("bucket", F.shiftright("spread", 64 - bits) if bits else F.lit(0).cast("long"))
     before = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = chunks.groupBy("n_tokens", "bucket").count().select("n_tokens", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
     own = Window.partitionBy("n_tokens", "bucket").orderBy("spread", "doc_id", "chunk")
     ranked = (
         chunks.withColumn("own", F.row_number().over(own))
-        .join(small_side(sizes, len(histogram) * buckets, 100_000), ["n_tokens", "bucket"])
+        .join(small_side(sizes, len(histogram) << bits, 100_000), ["n_tokens", "bucket"])
         .withColumn("rank", F.col("earlier") + F.col("own") - 1)
     )
     entries = plan(histogram, capacity)
