@@ -16,6 +16,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,11 +64,20 @@ def _automaton():
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Accepted detections (start, end, rule), in order of start."""
+    """Accepted detections (start, end, rule), in order of start.
+
+    Of the accepted ones those that lie in no other are kept by rising start, and so by rising end; the
+    last of them that begins at or before a detection is the one that may contain it."""
     accepted: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].number)):
-        if not any(s <= start and end <= e for s, e, _ in accepted):
-            accepted.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        accepted.append((start, end, rule))
+        low, high = bisect_left(starts, start), bisect_right(ends, end)
+        starts[low : max(low, high)], ends[low : max(low, high)] = [start], [end]
     return sorted(accepted, key=lambda d: (d[0], d[1], d[2].number))
 
 
