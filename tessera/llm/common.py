@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import reachable, shared_folder
@@ -85,3 +85,16 @@ def type_of(df: DataFrame, name: str) -> str:
 def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
     """A 64-bit key of (id, text): never null, so rows with null ids or texts join too; repeated rows have the same."""
     return F.xxhash64(F.col(id_col), F.col(text))
+
+
+def bounded_texts(docs: DataFrame, chosen: DataFrame, order: list[str], rows: int, most_bytes: int) -> DataFrame:
+    """``chosen`` (doc_id, lang, h, size, ...) with the documents' texts, in ``order`` as far as rows and bytes allow.
+
+    h: the text's hash.  A document is there once, however often its row is repeated; both bounds hold
+    for what a driver collects of it."""
+    first = chosen.orderBy(*order, "doc_id").limit(rows)
+    so_far = F.sum(F.coalesce("size", F.lit(0))).over(Window.orderBy(*order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # of at most ``rows`` rows
+    picked = cut(first.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes).drop("so_far", "size"))
+    texts = docs.select(F.col("doc_id").alias("own_id"), F.col("lang").alias("own_lang"), "text")
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & F.col("own_lang").eqNullSafe(F.col("lang")) & (F.xxhash64("text") == F.col("h"))
+    return texts.join(small_side(picked), same).drop("own_id", "own_lang").dropDuplicates(["doc_id", "lang"])
