@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
+
 from ..schema import FULL, FULL_PREFIX, INITIALS, INITIALS_PREFIX, ORIGINAL
 from . import lexicon, pinyin
 
@@ -73,6 +75,11 @@ def fold(text: str) -> str:
     return "".join(map(_folded, text))
 
 
+def is_ascii_word(term: str) -> bool:
+    """Whether a term is made of ASCII letters and digits."""
+    return term.isascii() and (not term or term.isalnum())
+
+
 def is_id_like(word: str) -> bool:
     """Whether an ASCII word looks like a random identifier."""
     if len(word) < _ID_MIN or not re.fullmatch(r"[A-Za-z0-9_-]+", word):
@@ -191,21 +198,32 @@ class Analyzer:
 
 def spans(tokens: list[Token], terms: list[str]) -> list[tuple[int, int]]:
     """Byte spans of terms: where a term is an original token those, else its shortest derived ones."""
-    out: list[tuple[int, int]] = []
-    for term in terms:
-        own = [(t.start, t.end) for t in tokens if t.domain == ORIGINAL and t.term == term]
-        if not own:
-            derived = sorted({(t.start, t.end) for t in tokens if t.domain != ORIGINAL and t.term == term})
-            least = min((e - s for s, e in derived), default=0)
-            own = [(s, e) for s, e in derived if e - s == least]
-        out += own
-    return sorted(out, key=lambda span: span[0])
+    return spans_by_start(tokens, terms, lambda: tokens)
+
+
+def spans_by_start(original: list[Token], terms: list[str], every: Callable[[], list[Token]]) -> list[tuple[int, int]]:
+    """``spans`` with all tokens asked for only if some term isn't an original one."""
+    wanted = set(terms)
+    own: dict[str, list[tuple[int, int]]] = {}
+    for t in original:
+        if t.domain == ORIGINAL and t.term in wanted:
+            own.setdefault(t.term, []).append((t.start, t.end))
+    missing = wanted - own.keys()
+    if missing:
+        derived: dict[str, set[tuple[int, int]]] = {}
+        for t in every():
+            if t.domain != ORIGINAL and t.term in missing:
+                derived.setdefault(t.term, set()).add((t.start, t.end))
+        for term, found in derived.items():
+            least = min(e - s for s, e in found)
+            own[term] = sorted((s, e) for s, e in found if e - s == least)
+    return sorted((span for term in terms for span in own.get(term, ())), key=lambda span: span[0])
 
 
 def to_utf16(text: str, byte_spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    raw = text.encode("utf-8", "surrogatepass")
-
-    def at(n: int) -> int:
-        return len(raw[:n].decode("utf-8", "ignore").encode("utf-16-le", "surrogatepass")) // 2
-
-    return [(at(s), at(e)) for s, e in byte_spans]
+    """Byte spans as UTF-16 units, in one pass over the text."""
+    if not byte_spans:
+        return []
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    units = np.concatenate([[0], np.cumsum(((raw & 0xC0) != 0x80).astype(np.int64) + (raw >= 0xF0))])
+    return [(int(units[s]), int(units[e])) for s, e in byte_spans]

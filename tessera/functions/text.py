@@ -68,6 +68,11 @@ def char_ngrams(term: Column) -> Column:
     return F.when(F.length(term) >= 3, many).when(F.length(term) == 2, F.array(term)).otherwise(F.array().cast("array<string>"))
 
 
+def ngrams_of(term: str) -> set[str]:
+    """The distinct ``char_ngrams`` of one term."""
+    return {term[k : k + 3] for k in range(max(1, len(term) - 2))} if len(term) >= 2 else set()
+
+
 def uni_bigrams(run: Column) -> Column:
     """Each character and, where there is a next one, the pair: a, ab, b, bc, c."""
     n = F.length(run)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.analyzer import Analyzer
 from ..schema import DOMAINS, ORIGINAL, POSTINGS, PREFIX_DOMAINS, TOKENS
-from ..session import cut, reachable
+from ..session import reachable, stored
+
+_ORDER = {"terms": ("domain", "index_name", "term"), "grams": ("domain", "index_name", "gram"), "stats": ()}
 
 
 def _id(df: DataFrame) -> str:
@@ -72,18 +74,32 @@ class Index:
 
     documents: DataFrame
     postings: DataFrame
-    _kept: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+    _kept: dict = field(default_factory=dict, repr=False)
 
     def kept(self, name: str) -> DataFrame:
         """``terms``, ``grams`` or ``stats``, written once and reused by all searches on this index."""
         if name not in self._kept:
-            self._kept[name] = cut(getattr(self, name)())
+            made = getattr(self, name)()
+            if name == "grams":
+                made = made.repartition("gram")
+            self._kept[name] = stored(made, *_ORDER[name], partition=() if name == "stats" else ("domain",))
         return self._kept[name]
 
+    def statistics(self) -> dict[tuple[str, str], tuple[int, float]]:
+        """(index_name, domain) -> (documents, average length): a row for each domain of each index."""
+        if "rows" not in self._kept:
+            self._kept["rows"] = {(r["index_name"], r["domain"]): (r["n"], r["avgdl"]) for r in self.kept("stats").collect()}
+        return self._kept["rows"]
+
     @classmethod
     def build(cls, documents: DataFrame, analyzer: Analyzer | None = None) -> Index:
         return cls(documents, postings(documents, analyzer or Analyzer()))
 
+    def store(self) -> Index:
+        """The same, with postings in files by domain, each sorted by term."""
+        by = ["index_name", "domain", "term"]
+        return Index(self.documents, stored(self.postings.repartition(*by), "domain", "index_name", "term", partition=("domain",)))
+
     def terms(self) -> DataFrame:
         """(index_name, domain, term, n_chars, df, in_aux) of every posting list."""
         aux = F.when(F.col("domain").isin(*PREFIX_DOMAINS), False).when(F.col("domain") == ORIGINAL, T.in_dictionary(F.col("term"))).otherwise(True)

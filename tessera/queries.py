@@ -36,11 +36,11 @@ def _register(name: str, sql: str) -> Callable:
 
 
 def built(spark: SparkSession, sf_dir: str, table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The index of a table, built once for a session and written to the checkpoint folder."""
+    """The index of a table, built once for a session and written to the shared folder."""
     key = (spark.sparkContext.applicationId, sf_dir, table)
     if key not in _built:
         docs = corpus(reachable(spark).read.parquet(f"{sf_dir}/{table}.parquet"), table, id_col, text_col)
-        _built[key] = Index(docs, cut(Index.build(docs).postings))
+        _built[key] = Index.build(docs).store()
     return _built[key]
 
 

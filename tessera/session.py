@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -42,6 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, *by: str, partition: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, sorted by ``by`` within files, and read it from there.
+
+    Unlike a checkpoint it's read by column, with filters pushed down, and its size is known to joins."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    rows = df.sortWithinPartitions(*by) if by else df
+    rows.write.partitionBy(*partition).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def local_rows(spark: SparkSession, rows: list, schema: str | StructType) -> DataFrame:
+    """A few rows as a relation that is part of the plan: reading it takes no job, and joins know its size."""
+    schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    kinds = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)], schema=kinds), schema)
+
+
 def local(threads: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests, benches and notebooks."""
     spark = (
