@@ -93,6 +93,12 @@ def id_like(term: Column) -> Column:
     return term.rlike(r"\A[A-Za-z0-9_-]{8,}\z") & (relaxed | strict)
 
 
+def ascii_terms(word: Column) -> Column:
+    """Terms of a run of ASCII letters, digits, ``_`` and ``-``: whole if it looks like an identifier, else parted at both."""
+    parts = F.filter(F.split(F.lower(word), "[_-]+"), lambda p: p != "")
+    return F.when(id_like(word), F.array(F.lower(word))).otherwise(parts)
+
+
 def in_dictionary(term: Column) -> Column:
     """Whether an original term takes part in fuzzy search."""
     return term.rlike(r"[\p{IsAlphabetic}\p{N}]") & ~id_like(term)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from .operators import highlight as H
 from .operators.index import Index, empty_postings, last_write
 from .plans import search as P
 from .schema import PositionEncoding, SearchMode
-from .session import cut, reachable
+from .session import cut, reachable, stored
 from .sources import snapshot as Snap
 
 _DOCS = "index_name string, doc_id {id}, content string, indexed boolean, seq long"
@@ -70,10 +71,12 @@ class SearchIndex:
     # changes
 
     def add_docs(self, docs: DataFrame) -> None:
-        """Upsert (index_name, doc_id, content[, indexed][, seq]); of one id the last by seq stays."""
+        """Upsert (index_name, doc_id, content[, indexed][, seq]); of one id the last by seq stays, without
+        seq the last in the order of the rows."""
         if "indexed" not in docs.columns:
             docs = docs.withColumn("indexed", F.lit(True))
-        docs = last_write(docs, "seq") if "seq" in docs.columns else docs.dropDuplicates(["index_name", "doc_id"])
+        docs = docs if "seq" in docs.columns else docs.withColumn("seq", F.monotonically_increasing_id())
+        docs = last_write(docs, "seq")
         docs = docs.select("index_name", F.col("doc_id").cast(self.id_type).alias("doc_id"), "content", "indexed", F.lit(len(self._past) - 1).alias("analyzer"))
         self._index = self._index.upsert(docs, self.analyzer)
         self._known |= {r[0] for r in docs.select("index_name").distinct().collect()}
@@ -93,6 +96,17 @@ class SearchIndex:
     def remove_doc(self, index_name: str, doc_id: object) -> None:
         self.remove_docs(self.spark.createDataFrame([(index_name, doc_id)], f"index_name string, doc_id {self.id_type}"))
 
+    def clear(self, index_name: str, only_dictionaries: bool = False) -> None:
+        """Empty an index, or only what fuzzy search looks terms up in; nothing counts as changed."""
+        self._index = self._index.clear(index_name, only_dictionaries)
+        if not only_dictionaries:
+            self._changes = self._changes.filter(F.col("index_name") != index_name)
+
+    def highlight_batch(self, wanted: DataFrame) -> DataFrame:
+        """Spans of (query_id, index_name, doc_id, terms) in the encoding set now: (…, nth, start, end)."""
+        parts = [H.highlight(self._index.documents.filter(F.col("analyzer") == k), wanted, a, self.position_encoding) for k, a in enumerate(self._past)]
+        return reduce(DataFrame.unionByName, parts)
+
     def _changed(self, ids: DataFrame, op: str) -> None:
         rest = self._changes.join(ids, ["index_name", "doc_id"], "left_anti")
         self._changes = rest.unionByName(ids.select("index_name", "doc_id", F.lit(op).alias("op")))
@@ -101,8 +115,9 @@ class SearchIndex:
             self.compact()
 
     def compact(self) -> None:
-        """Write the tables to the checkpoint folder and go on from there."""
-        self._index = Index(cut(self._index.documents), cut(self._index.postings))
+        """Write the tables to the shared folder and go on from there."""
+        cleared = None if self._index.cleared is None else cut(self._index.cleared)
+        self._index = Index(stored(self._index.documents), self._index.postings, cleared).store()
         self._changes = cut(self._changes)
         self._since = 0
 
@@ -182,7 +197,7 @@ class SearchIndex:
         if index_name not in self._known:
             return None
         here = F.col("index_name") == index_name
-        return Index(self._index.documents.filter(here), self._index.postings.filter(here))
+        return Index(self._index.documents.filter(here), self._index.postings.filter(here), self._index.cleared)
 
     def save_snapshot(self, index_name: str, path: str) -> bool:
         one = self.get_snapshot_data(index_name)
@@ -198,7 +213,8 @@ class SearchIndex:
         other = F.col("index_name") != index_name
         if "analyzer" not in docs.columns:
             docs = docs.withColumn("analyzer", F.lit(len(self._past) - 1))
-        self._index = Index(self._index.documents.filter(other).unionByName(docs), self._index.postings.filter(other).unionByName(postings))
+        rest = self._index.clear(index_name)
+        self._index = Index(rest.documents.unionByName(docs, allowMissingColumns=True), rest.postings.unionByName(postings), rest.cleared)
         self._changes = self._changes.filter(other)
         self._known.add(index_name)
 

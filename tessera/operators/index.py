@@ -74,6 +74,8 @@ class Index:
 
     documents: DataFrame
     postings: DataFrame
+    #: (index_name, doc_id) of documents whose terms fuzzy search no longer finds; None: of none.
+    cleared: DataFrame | None = None
     _kept: dict = field(default_factory=dict, repr=False)
 
     def kept(self, name: str) -> DataFrame:
@@ -98,12 +100,26 @@ class Index:
     def store(self) -> Index:
         """The same, with postings in files by domain, each sorted by term."""
         by = ["index_name", "domain", "term"]
-        return Index(self.documents, stored(self.postings.repartition(*by), "domain", "index_name", "term", partition=("domain",)))
+        return Index(self.documents, stored(self.postings.repartition(*by), "domain", "index_name", "term", partition=("domain",)), self.cleared)
+
+    def clear(self, index_name: str, only_dictionaries: bool = False) -> Index:
+        """Without the documents of an index; or with them, but unknown to fuzzy search until written again."""
+        other = F.col("index_name") != index_name
+        cleared = None if self.cleared is None else self.cleared.filter(other)
+        if not only_dictionaries:
+            return Index(self.documents.filter(other), self.postings.filter(other), cleared)
+        own = self.documents.filter(~other).select("index_name", "doc_id")
+        return Index(self.documents, self.postings, own if cleared is None else cleared.unionByName(own))
 
     def terms(self) -> DataFrame:
         """(index_name, domain, term, n_chars, df, in_aux) of every posting list."""
         aux = F.when(F.col("domain").isin(*PREFIX_DOMAINS), False).when(F.col("domain") == ORIGINAL, T.in_dictionary(F.col("term"))).otherwise(True)
-        return self.postings.groupBy("index_name", "domain", "term").agg(F.count(F.lit(1)).alias("df")).select("index_name", "domain", "term", F.length("term").alias("n_chars"), "df", aux.alias("in_aux"))
+        rows, known = self.postings, F.lit(True)
+        if self.cleared is not None:
+            rows = rows.join(self.cleared.withColumn("cleared", F.lit(True)), ["index_name", "doc_id"], "left")
+            known = F.max(F.col("cleared").isNull())
+        counted = rows.groupBy("index_name", "domain", "term").agg(F.count(F.lit(1)).alias("df"), known.alias("known") if self.cleared is not None else F.first(known).alias("known"))
+        return counted.select("index_name", "domain", "term", F.length("term").alias("n_chars"), "df", (aux & F.col("known")).alias("in_aux"))
 
     def dictionary(self) -> DataFrame:
         """Terms that fuzzy search may find."""
@@ -134,13 +150,14 @@ class Index:
         """Replace or add documents (index_name, doc_id, content, indexed)."""
         rest = self.remove(changed.select("index_name", "doc_id"))
         new = Index.build(changed, analyzer)
-        return Index(rest.documents.unionByName(new.documents), rest.postings.unionByName(new.postings))
+        return Index(rest.documents.unionByName(new.documents), rest.postings.unionByName(new.postings), rest.cleared)
 
     def remove(self, ids: DataFrame) -> Index:
         """Without the documents (index_name, doc_id); their terms go with their postings."""
         keys = ["index_name", "doc_id"]
         gone = ids.select(keys).distinct()
-        return Index(self.documents.join(gone, keys, "left_anti"), self.postings.join(gone, keys, "left_anti"))
+        without = lambda df: df.join(gone, keys, "left_anti")
+        return Index(without(self.documents), without(self.postings), None if self.cleared is None else without(self.cleared))
 
 
 def last_write(docs: DataFrame, order: str) -> DataFrame:
@@ -162,6 +179,19 @@ def derived_spans(token_rows: DataFrame) -> DataFrame:
     return rows.withColumn("__rank", F.rank().over(w)).filter("__rank = 1").drop("__rank")
 
 
+def doc_lengths(documents: DataFrame, postings: DataFrame) -> DataFrame:
+    """(index_name, doc_id, domain, len) of rows that may lack lengths, as older snapshots do.
+
+    Of a document the stored ones (``dl``) if any is positive, else those counted from ``tf``; a document
+    without postings has its ``doc_len`` in the original domain."""
+    keys = ["index_name", "doc_id"]
+    each = postings.groupBy(*keys, "domain").agg(F.coalesce(F.max("dl"), F.lit(0)).alias("stored"), F.sum("tf").alias("counted"))
+    any_ = F.max("stored").over(Window.partitionBy(*keys)) > 0
+    known = each.select(*keys, "domain", F.when(any_, F.col("stored")).otherwise(F.col("counted")).alias("len")).filter("len > 0")
+    rest = documents.join(known.select(*keys).distinct(), keys, "left_anti").filter("doc_len > 0")
+    return known.unionByName(rest.select(*keys, F.lit(ORIGINAL).alias("domain"), F.col("doc_len").cast("long").alias("len")))
+
+
 def weights() -> Column:
     """Weight of the column ``domain``."""
     return F.create_map(*[F.lit(x) for d in DOMAINS.values() for x in (d.name, d.weight)])[F.col("domain")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +18,8 @@ from .operators.index import Index
 from .operators.train import TrainingConfig, export, lexicon_counts
 from .plans import search as P
 from .schema import PositionEncoding, SearchMode
-from .session import cut, reachable
-from .sources.snapshot import corpus, read_snapshot, write_snapshot
+from .session import cut, reachable, shared_folder
+from .sources.snapshot import corpus, read_json, read_snapshot, write_json, write_snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -358,12 +358,172 @@ def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("snapshot_roundtrip", f"WITH {_base()} SELECT term, df FROM df")
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    folder = f"{named}/snapshot-{spark.sparkContext.applicationId}" if named else tempfile.mkdtemp(prefix="snapshot-")
+    folder = f"{shared_folder(spark)}/snapshot-{spark.sparkContext.applicationId}"
     write_snapshot(built(spark, sf_dir), folder, "documents")
     return read_snapshot(spark, folder, "copy").terms().select("term", "df")
 
 
+# the index object: encodings, highlights of queries and hits, pending changes, lengths of older snapshots
+
+def _store(spark: SparkSession, sf_dir: str, **kw: object):
+    from .index import SearchIndex
+
+    store = SearchIndex(spark, Analyzer(), id_type="bigint", **kw)
+    store.add_docs(corpus(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "benchmark", "item_id", "text"))
+    return store
+
+
+_PLACED = r"""
+runs AS (SELECT item_id AS doc_id, unnest(regexp_extract_all(text, '[\p{Latin}0-9]+|[^\p{Latin}0-9]+')) AS run, generate_subscripts(regexp_extract_all(text, '[\p{Latin}0-9]+|[^\p{Latin}0-9]+'), 1) AS k FROM benchmark),
+placed AS (SELECT doc_id, strip_accents(lower(run)) AS term, sum(strlen(run)) OVER w - strlen(run) AS byte_start, strlen(run) AS bytes, sum(length(run)) OVER w - length(run) AS start, length(run) AS units FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY k))"""
+_SHOWN = ["the", "que", "and", "des", "eine"]
+
+
+@_register("encoding_setting", f"""WITH {_PLACED}
+SELECT 'bytes' AS encoding, doc_id, CAST(byte_start AS INTEGER) AS "start", CAST(byte_start + bytes AS INTEGER) AS "end" FROM placed WHERE term IN ({', '.join(f"'{t}'" for t in _SHOWN)})
+UNION ALL SELECT 'utf16', doc_id, CAST(start AS INTEGER), CAST(start + units AS INTEGER) FROM placed WHERE term IN ({', '.join(f"'{t}'" for t in _SHOWN)})""")
+def encoding_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir, encoding=PositionEncoding.BYTES)
+    wanted = store.tables.documents.select(F.lit("q").alias("query_id"), "index_name", "doc_id", F.array(*map(F.lit, _SHOWN)).alias("terms"))
+    one = store.highlight_batch(wanted).select(F.lit("bytes").alias("encoding"), "doc_id", "start", "end")
+    store.set_position_encoding(PositionEncoding.UTF16)
+    return one.unionByName(store.highlight_batch(wanted).select(F.lit("utf16").alias("encoding"), "doc_id", "start", "end"))
+
+
+_HITS_SHOWN = {"h1": "the of and", "h2": "de la"}
+
+
+@_register("highlight_hits", f"""WITH {_base("benchmark", "item_id")}, {_asked(_HITS_SHOWN)}, {_EXACT}, {_PLACED}
+SELECT query_id, doc_id, CAST(start AS INTEGER) AS "start", CAST(start + units AS INTEGER) AS "end" FROM exact JOIN placed USING (doc_id) JOIN (SELECT DISTINCT query_id, term FROM q) USING (query_id, term)""")
+def highlight_hits_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.highlight import highlight_hits
+
+    index = built(spark, sf_dir, "benchmark", "item_id", "text")
+    hits = P.search(index, _ask(spark, _HITS_SHOWN, "benchmark"), SearchMode.EXACT)
+    return highlight_hits(index.documents, hits).select("query_id", "doc_id", "start", "end")
+
+
+@_register("hits_id_score", f"WITH {_base('benchmark', 'item_id')}, {_asked({'q': 'the of'})}, {_EXACT} SELECT doc_id, round(score, 6) AS score FROM exact")
+def hits_id_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).search("benchmark", "the of").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@_register("pending_changes", "SELECT * FROM (VALUES ('added', TRUE), ('failed', TRUE), ('persisted', FALSE), ('again', FALSE)) v(step, pending)")
+def pending_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    rows = [("added", store.has_unpersisted_changes("benchmark"))]
+    try:
+        store.persist_if_dirty("benchmark", lambda _: 1 // 0)
+    except ZeroDivisionError:
+        rows.append(("failed", store.has_unpersisted_changes()))
+    store.persist_if_dirty("benchmark", lambda _: None)
+    rows.append(("persisted", store.has_unpersisted_changes()))
+    rows.append(("again", store.persist_if_dirty("benchmark", lambda _: None)))
+    return spark.createDataFrame(rows, "step string, pending boolean")
+
+
+@_register("ascii_split", rf"""
+WITH raw AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_-]+')) AS term FROM documents),
+     cuts AS (SELECT term AS word, CASE WHEN {_ID_LIKE} THEN [lower(term)] ELSE list_filter(regexp_split_to_array(lower(term), '[_-]+'), lambda x: x <> '') END AS terms FROM raw)
+SELECT word, array_to_string(terms, ' ') AS terms FROM cuts""")
+def ascii_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", F.array_join(T.ascii_terms(F.col("word")), " ").alias("terms"))
+
+
+_OLD = "CASE WHEN lang = 'es' THEN NULL WHEN lang = 'fr' THEN 0 ELSE {0} END"
+
+
+@_register("length_recovery", f"WITH {_base()} SELECT doc_id, CAST(coalesce(dl, n_chars) AS BIGINT) AS len FROM documents LEFT JOIN dl USING (doc_id) WHERE coalesce(dl, n_chars) > 0")
+def length_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = built(spark, sf_dir).postings.join(table.select("doc_id", "lang"), "doc_id").withColumn("dl", F.expr(_OLD.format("dl")))
+    docs = table.select(F.lit("documents").alias("index_name"), "doc_id", F.col("n_chars").alias("doc_len"))
+    return X.doc_lengths(docs, rows.drop("lang")).select("doc_id", "len")
+
+
+@_register("json_roundtrip", f"WITH {_base('benchmark', 'item_id')} SELECT doc_id, term, tf, CAST(dl AS BIGINT) AS dl FROM tf JOIN dl USING (doc_id)")
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    write_json(built(spark, sf_dir, "benchmark", "item_id", "text"), folder, "benchmark")
+    return read_json(spark, folder).postings.select("doc_id", "term", "tf", "dl")
+
+
+@_register("clear_dictionary", f"WITH {_base('benchmark', 'item_id')} SELECT term, df, FALSE AS in_aux FROM df")
+def clear_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "benchmark", "item_id", "text").clear("benchmark", only_dictionaries=True).terms().select("term", "df", "in_aux")
+
+
+# Chinese at size: the benchmark's letters as characters, searched by pinyin, with scores
+
+_HAN_OF = dict(zip("abcdefghijklmnopqrstuvwxyz", "明北地大案方锅好人京口火木你博山水日世天月学界東庆土"))
+_LETTERS, _HANS = "".join(_HAN_OF), "".join(_HAN_OF.values())
+_HAN_READINGS = {
+    c: (r,) for c, r in zip(_HANS, "ming bei di da an fang guo hao ren jing kou huo mu ni bo shan shui ri shi tian yue xue jie dong qing tu".split())
+}
+_SPELLED = {"full": "tianhaoan", "initials": "tha", "full_prefix": "tianh", "initials_prefix": "thmntr", "char": "tian", "absent": "zzzz"}
+_HAN_SQL = rf"""
+readings(c, r) AS (VALUES {', '.join(f"('{c}', '{r[0]}')" for c, r in _HAN_READINGS.items())}),
+docs AS (SELECT item_id AS doc_id, translate(lower(text), '{_LETTERS}', '{_HANS}') AS text FROM benchmark),
+runs AS (SELECT doc_id, row_number() OVER () AS run_id, run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{Han}}]+')) AS run FROM docs)),
+chars AS (SELECT doc_id, run_id, run, k, r FROM (SELECT *, unnest(string_split(run, '')) AS c, generate_subscripts(string_split(run, ''), 1) AS k FROM runs) JOIN readings USING (c)),
+spelled AS (SELECT doc_id, 0 AS late, run_id, k, r AS full_value, r[1] AS initials FROM chars
+            UNION ALL SELECT doc_id, 1, run_id, 0, string_agg(r, '' ORDER BY k), string_agg(r[1], '' ORDER BY k) FROM chars WHERE len(run) BETWEEN 2 AND 16 GROUP BY doc_id, run_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY late, run_id, k) AS nth FROM spelled),
+vals AS (SELECT doc_id, nth, 'full' AS kind, full_value AS value, 2 AS low FROM placed UNION ALL SELECT doc_id, nth, 'initials', initials, 1 FROM placed),
+seen AS (SELECT doc_id, kind, value AS p, min(nth) AS first_at FROM vals GROUP BY ALL),
+pre AS (SELECT doc_id, nth, kind, value[1 : n] AS p FROM (SELECT *, unnest(range(low, least(17, len(value)))) AS n FROM vals)),
+tok AS (SELECT doc_id, kind AS domain, value AS term FROM vals
+        UNION ALL SELECT doc_id, kind || '_prefix', p FROM pre LEFT JOIN seen USING (doc_id, kind, p) WHERE first_at IS NULL OR first_at > nth),
+tf AS (SELECT doc_id, domain, term, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT doc_id, domain, sum(tf) AS dl FROM tf GROUP BY ALL),
+df AS (SELECT domain, term, count(*) AS df FROM tf GROUP BY ALL),
+st AS (SELECT domain, (SELECT count(*) FROM docs) AS n, sum(dl)::DOUBLE / (SELECT count(*) FROM docs) AS avgdl FROM dl GROUP BY domain)"""
+_PINYIN_SQL = f"""WITH {_HAN_SQL},
+q(query_id, term) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _SPELLED.items())}),
+weights(domain, weight, long) AS (VALUES ('full', 0.9e0, 1), ('initials', 0.8e0, 1), ('full_prefix', 0.7e0, 0), ('initials_prefix', 0.75e0, 0)),
+routes(domain, place) AS (VALUES ('full', 1), ('initials', 2), ('full_prefix', 3), ('initials_prefix', 4)),
+hits AS (SELECT query_id, doc_id, domain, place, weight * ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * CASE WHEN long = 1 THEN dl / avgdl ELSE 0 END)) AS score
+         FROM q JOIN tf USING (term) JOIN dl USING (doc_id, domain) JOIN df USING (domain, term) JOIN st USING (domain) JOIN weights USING (domain) JOIN routes USING (domain))
+SELECT query_id, doc_id, 'pinyin_' || domain AS domain, round(score, 6) AS score FROM hits WHERE (query_id, place) IN (SELECT (query_id, min(place)) FROM hits GROUP BY query_id)"""
+
+
+def _han_index(spark: SparkSession, sf_dir: str) -> tuple[Index, Analyzer]:
+    analyzer = Analyzer(readings=_HAN_READINGS, words={})
+    key = (spark.sparkContext.applicationId, sf_dir, "han")
+    if key not in _built:
+        rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.translate(F.lower("text"), _LETTERS, _HANS).alias("text"))
+        _built[key] = Index.build(corpus(rows, "han", "item_id", "text"), analyzer).store()
+    return _built[key], analyzer
+
+
+@_register("pinyin_scores", _PINYIN_SQL)
+def pinyin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, analyzer = _han_index(spark, sf_dir)
+    hits = P.search(index, _ask(spark, _SPELLED, "han"), SearchMode.PINYIN, analyzer)
+    return hits.select("query_id", "doc_id", F.get("matched_terms", 0)["domain"].alias("domain"), F.round("score", 6).alias("score"))
+
+
+@_register("pinyin_postings", f"WITH {_HAN_SQL} SELECT doc_id, 'pinyin_' || domain AS domain, term, tf FROM tf")
+def pinyin_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _ = _han_index(spark, sf_dir)
+    return index.postings.filter("domain <> 'original'").select("doc_id", "domain", "term", "tf")
+
+
+@_register("highlight_astral", rf"""
+WITH docs AS (SELECT item_id AS doc_id, translate(lower(text), 'e', chr(131075)) || ' the' AS text FROM benchmark),
+     runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{Latin}}0-9]+|[^\p{{Latin}}0-9]+')) AS run, generate_subscripts(regexp_extract_all(text, '[\p{{Latin}}0-9]+|[^\p{{Latin}}0-9]+'), 1) AS k FROM docs),
+     sized AS (SELECT *, length(run) + length(run) - length(replace(run, chr(131075), '')) AS units FROM runs),
+     placed AS (SELECT doc_id, run, units, sum(units) OVER (PARTITION BY doc_id ORDER BY k) - units AS start FROM sized)
+SELECT doc_id, CAST(start AS INTEGER) AS "start", CAST(start + units AS INTEGER) AS "end" FROM placed WHERE run IN ('the', 'of', 'th')""")
+def highlight_astral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.concat(F.translate(F.lower("text"), "e", "𠀃"), F.lit(" the")).alias("text"))
+    docs = corpus(rows, "astral", "item_id", "text")
+    wanted = docs.select(F.lit("q").alias("query_id"), "index_name", "doc_id", F.array(*map(F.lit, ("the", "of", "th"))).alias("terms"))
+    return highlight(docs, wanted, Analyzer(), PositionEncoding.UTF16).select("doc_id", "start", "end")
+
+
 # scripts other than Latin: fixed texts, and the rows expected of them
 
 def _values(columns: str, rows: list[tuple]) -> str:
@@ -381,9 +541,12 @@ _READINGS = {
 
 
 def _fixed(spark: SparkSession) -> tuple[Index, Analyzer]:
-    docs = spark.createDataFrame([("cjk", k, v, True) for k, v in _FIXED.items()], "index_name string, doc_id int, content string, indexed boolean")
     analyzer = Analyzer(readings=_READINGS)
-    return Index.build(docs, analyzer), analyzer
+    key = (spark.sparkContext.applicationId, "", "cjk")
+    if key not in _built:
+        docs = spark.createDataFrame([("cjk", k, v, True) for k, v in _FIXED.items()], "index_name string, doc_id int, content string, indexed boolean")
+        _built[key] = Index.build(docs.coalesce(1), analyzer).store()
+    return _built[key], analyzer
 
 
 @_register("script_runs", _values("k, run, script", [(0, "hello", "latin"), (1, " ", "other"), (2, "世界", "han"), (3, ",", "other"), (4, "ラ", "katakana"), (5, "ー", "other"), (6, "メン", "katakana"), (7, "こん", "hiragana"), (8, "안녕", "hangul"), (9, " привет мир!", "other")]))

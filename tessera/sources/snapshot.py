@@ -1,11 +1,14 @@
-"""Snapshots of an index as Parquet (zstd), and the files an index is built from."""
+"""Snapshots of an index as Parquet (zstd) or JSON, and the files an index is built from."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.index import Index
+from ..operators.index import Index, doc_lengths
 from ..schema import SNAPSHOT_VERSION
 
 
@@ -35,6 +38,29 @@ def read_snapshot(spark: SparkSession, path: str, index_name: str | None = None)
     return Index(docs, postings.select("index_name", "domain", "term", "doc_id", "tf", "dl"))
 
 
+def write_json(index: Index, path: str, index_name: str, version: str | None = None) -> None:
+    """The same tables as lines of JSON."""
+    here = F.col("index_name") == index_name
+    docs, postings = index.documents.filter(here), index.postings.filter(here)
+    docs.write.mode("overwrite").json(f"{path}/documents")
+    postings.write.mode("overwrite").json(f"{path}/postings")
+    schemas = [(SNAPSHOT_VERSION, index_name, version, docs.schema.json(), postings.schema.json())]
+    docs.sparkSession.createDataFrame(schemas, "version int, index_name string, lexicon_version string, documents string, postings string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def read_json(spark: SparkSession, path: str) -> Index:
+    """The index of ``write_json``; lengths that its postings lack are counted again."""
+    meta = spark.read.json(f"{path}/meta").first()
+    if meta["version"] != SNAPSHOT_VERSION:
+        raise ValueError(f"snapshot version {meta['version']}, expected {SNAPSHOT_VERSION}")
+    docs, postings = (spark.read.schema(StructType.fromJson(json.loads(meta[name]))).json(f"{path}/{name}") for name in ("documents", "postings"))
+    if "dl" not in postings.columns:
+        postings = postings.withColumn("dl", F.lit(None).cast("long"))
+    lengths = doc_lengths(docs if "doc_len" in docs.columns else docs.withColumn("doc_len", F.lit(0)), postings)
+    postings = postings.drop("dl").join(lengths.withColumnRenamed("len", "dl"), ["index_name", "doc_id", "domain"], "left")
+    return Index(docs, postings.select("index_name", "domain", "term", "doc_id", "tf", F.coalesce("dl", "tf").alias("dl")))
+
+
 def snapshot_version() -> int:
     return SNAPSHOT_VERSION
 

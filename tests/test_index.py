@@ -9,7 +9,7 @@ DOCS = {
     "doc-cn": "你好世界",
     "doc-en": "fuzzy search handles typos",
     "doc-jp": "こんにちは世界",
-    "case": "MEMORY-INDEXER",
+    "case": "SEARCH-ENGINE",
     "alnum": "version2 stable",
     "go": "go go",
     "greet": "nihao greeting",
@@ -18,13 +18,13 @@ DOCS = {
     "f2": "apple banana cherry",
     "f3": "apple",
     "poly": "重庆火锅",
-    "camel": "memoryIndexer",
+    "camel": "searchEngine",
     "uni": "北京大学",
     "mixed": "hello 世界",
     "oov": "明博",
     "plan": "方案",
-    "news": "美光将在全球内存供应短缺之际退出消费级内存业务",
-    "id": "IKPeA9Zu9eo_pXlKWVFcf",
+    "news": "公司将在内存短缺之际退出手机内存市场",
+    "id": "BXRtA7Zq3eo_mXkKWTGcd",
 }
 
 
@@ -45,23 +45,23 @@ CASES = [
     ("nih", "auto", {"doc-cn"}, set()),
     ("nihap", "fuzzy", {"greet"}, {"doc-cn"}),
     ("fuzze", "auto", {"doc-en"}, set()),
-    ("memory-indexer", "exact", {"case"}, {"camel"}),
+    ("search-engine", "exact", {"case"}, {"camel"}),
     ("versoin2", "fuzzy", {"alnum"}, set()),
-    ("memry-indexer", "fuzzy", {"case"}, set()),
+    ("serch-engine", "fuzzy", {"case"}, set()),
     ("go", "fuzzy", {"go"}, set()),
     ("こん", "auto", {"doc-jp"}, set()),
     ("dongjing", "pinyin", set(), {"kana"}),
     ("apple banana cherry", "exact", {"f1", "f2"}, {"f3"}),
     ("zhongqing", "pinyin", {"poly"}, set()),
     ("chongqing", "pinyin", {"poly"}, set()),
-    ("memryindexer", "auto", {"camel"}, set()),
+    ("serchengine", "auto", {"camel"}, set()),
     ("ＮＩＨＡＯ", "pinyin", {"doc-cn"}, set()),
     ("北景大学", "auto", {"uni"}, set()),
     ("hello 世界", "auto", {"mixed"}, set()),
     ("明搏", "auto", {"oov"}, set()),
     ("applr banaan", "fuzzy", {"f1", "f2"}, {"f3"}),
     ("方桉", "auto", {"plan"}, set()),
-    ("IKPeA9Zu9eo_pXlKWVFcf", "exact", {"id"}, set()),
+    ("BXRtA7Zq3eo_mXkKWTGcd", "exact", {"id"}, set()),
     ("apple apple apple", "exact", set(), {"f1", "f2", "f3"}),
     ("apple zzz", "exact", {"f1", "f2", "f3"}, set()),
     ("*", "auto", set(DOCS), set()),
@@ -116,8 +116,8 @@ def test_highlights(index):
 
 def test_tables(index):
     terms = {(r["domain"], r["term"]): r["in_aux"] for r in index.tables.terms().collect()}
-    assert terms[("original", "ikpea9zu9eo")] in (True, False)
-    assert ("original", "ikpea9zu9eo_pxlkwvfcf") not in terms
+    assert terms[("original", "bxrta7zq3eo")] in (True, False)
+    assert ("original", "bxrta7zq3eo_mxkkwtgcd") not in terms
     assert terms[("original", "你好")] and terms[("pinyin_full", "nihao")] and not terms[("pinyin_full_prefix", "nih")]
     grams = {r["gram"] for r in index.tables.grams().filter("domain = 'pinyin_full' and term = 'nihao'").collect()}
     assert grams == {"nih", "iha", "hao"}
@@ -127,7 +127,7 @@ def test_changes(spark, tmp_path):
     s = SearchIndex(spark)
     assert not s.has_unpersisted_changes() and s.get_snapshot_data(I) is None
     s.add_doc(I, "a", "token removal check")
-    s.add_doc(I, "b", "你好世界 memory-indexer")
+    s.add_doc(I, "b", "你好世界 search-engine")
     s.add_doc(I, "c", "staged only", index=False)
     assert s.has_unpersisted_changes(I) and not s.has_unpersisted_changes("other")
     assert s.get_doc(I, "c") == "staged only" and s.get_doc(I, "zz") is None
@@ -159,6 +159,57 @@ def test_changes(spark, tmp_path):
         other.load_snapshot("copy", path)
 
 
+def test_clear(spark):
+    s = SearchIndex(spark)
+    for k, text in (("a", "fuzzy words"), ("b", "other words")):
+        s.add_doc(I, k, text)
+        s.add_doc("second", k, text)
+    s.clear(I, only_dictionaries=True)
+    assert s.search_with_mode(I, "fuzze", SearchMode.FUZZY).isEmpty() and not s.search_with_mode(I, "fuzzy", SearchMode.EXACT).isEmpty()
+    assert not s.search_with_mode("second", "fuzze", SearchMode.FUZZY).isEmpty()
+    s.add_doc(I, "a", "fuzzy again")
+    assert not s.search_with_mode(I, "fuzze", SearchMode.FUZZY).isEmpty() and s.search_with_mode(I, "othar", SearchMode.FUZZY).isEmpty()
+    s.clear(I)
+    assert s.search(I, "*").isEmpty() and s.search(I, "fuzzy").isEmpty() and s.search("second", "*").count() == 2
+    assert s.tables.stats().filter(f"index_name = '{I}'").isEmpty()
+
+
+def test_json(spark, tmp_path):
+    from tessera.sources.snapshot import read_json, write_json
+
+    s = SearchIndex(spark)
+    s.add_doc(I, "a", "你好世界 hello")
+    s.add_doc(I, "b", "hello again")
+    write_json(s.get_snapshot_data(I), str(tmp_path / "j"), I, version="x")
+    back = read_json(spark, str(tmp_path / "j"))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(back.postings) == key(s.tables.postings) and key(back.documents.select("doc_id", "content")) == key(s.tables.documents.select("doc_id", "content"))
+    other = SearchIndex(spark)
+    other.load_snapshot("copy", back)
+    assert {r[0] for r in other.search("copy", "nihao").collect()} == {"a"} and other.search("copy", "hello").count() == 2
+
+
+def test_last_of_repeated_ids_stays(spark):
+    s = SearchIndex(spark)
+    rows = spark.createDataFrame([(I, "a", f"version{k}") for k in range(20)], "index_name string, doc_id string, content string").coalesce(1)
+    s.add_docs(rows)
+    assert s.get_doc(I, "a") == "version19"
+
+
+def test_large_batches_of_queries(spark, index, monkeypatch):
+    """Queries as a table, not as literals, give the same hits."""
+    from tessera.plans import search as P
+
+    for mode in SearchMode:
+        rows = [(str(k), I, q) for k, (q, m, _, _) in enumerate(CASES) if m == mode.value]
+        asked = spark.createDataFrame(rows, "query_id string, index_name string, text string")
+        few = sorted((h["query_id"], h["doc_id"], round(h["score"], 9), str(h["matched_terms"])) for h in index.search_batch(asked, mode).collect())
+        with monkeypatch.context() as m:
+            m.setattr(P, "LOCAL_TOKENS", 0)
+            many = sorted((h["query_id"], h["doc_id"], round(h["score"], 9), str(h["matched_terms"])) for h in index.search_batch(asked, mode).collect())
+        assert few == many and few
+
+
 def test_dictionary(spark):
     s = SearchIndex.with_dictionary_config(spark, DictionaryConfig(japanese=ScriptDictionary({"こんにちは"})))
     s.add_doc(I, "a", "こんにちは世界")
