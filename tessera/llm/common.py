@@ -38,6 +38,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written to the shared one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there on."""
     checkpoint_dir(df.sparkSession)
