@@ -337,6 +337,21 @@ def test_toxicity_odd_rows(spark, toxic_model):
     assert toxicity.classify(table(spark, []), model).isEmpty()
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """A telling word that no document of the sample holds is learned, and all held-out documents are in the thresholds."""
+    rows = [(k, " ".join(f"w{(k * 7 + i) % 97}" for i in range(12)) + (f" {'vile' if k % 8 else 'scum'}" if k % 2 else ""), "en", "s", 1) for k in range(1200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1200)], "doc_id long, toxic int")
+    chosen = {r["doc_id"] for r in toxicity.sample(docs, labels, per_class=40).collect()}
+    docs = docs.withColumn("text", F.when(~F.col("doc_id").isin(*chosen), F.regexp_replace("text", "vile|scum", "nasty")).otherwise(F.col("text")))
+    seen, real = [], toxicity.threshold
+    monkeypatch.setattr(toxicity, "threshold", lambda s, toxic, weight: seen.append(len(s)) or real(s, toxic, weight))
+    model = toxicity.fit(docs, labels, per_class=40)
+    assert len(chosen) == 80 and 300 < max(seen) < 420
+    asked = spark.createDataFrame([(1, "w1 w2 nasty w3", "en", "s", 1), (2, "w1 w2 w3", "en", "s", 1)], DOCS)
+    assert {r["doc_id"]: r["toxic"] for r in toxicity.classify(asked, model).collect()} == {1: True, 2: False}
+
+
 def test_pooling_equals_loops():
     rng = np.random.default_rng(3)
     taps = toxicity.FILTERS * sum(toxicity.WIDTHS)
