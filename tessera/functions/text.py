@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,6 +64,32 @@ def latin_terms(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(r"[\p{IsLatin}0-9]+"), F.lit(0))
 
 
+_NATIVE = re.compile("[" + re.sub(r"\\x\{(\w+)\}", r"\\u\1", NATIVE) + r"]*")
+_HYPHENS = re.compile("[_-]{16}")
+_WORD = re.compile("[0-9a-z\xdf-\xf6\xf8-\xff]+")
+_MARKS = str.maketrans(ACCENTED, PLAIN)
+
+
+def native(text: str) -> bool:
+    """``is_native`` of one text."""
+    return (text.isascii() or _NATIVE.fullmatch(text) is not None) and _HYPHENS.search(text) is None
+
+
+def native_fold(text: str) -> str:
+    """``fold`` of one native text; it keeps every character's place."""
+    return text.lower().translate(_MARKS) if not text.isascii() else text.lower()
+
+
+def native_words(text: str) -> list[str]:
+    """``latin_terms`` of one native text."""
+    return _WORD.findall(native_fold(text))
+
+
+def native_matches(text: str) -> Iterator[re.Match]:
+    """The same as matches, whose places are those in the text itself."""
+    return _WORD.finditer(native_fold(text))
+
+
 def char_ngrams(term: Column) -> Column:
     """3-grams of a term, of two characters the term itself, of fewer none; repeats are kept."""
     many = F.transform(F.sequence(F.lit(1), F.greatest(F.length(term) - 2, F.lit(1))), lambda i: F.substr(term, i, F.lit(3)))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.analyzer import Analyzer
+from ..functions.analyzer import Analyzer, byte_offsets
 from ..schema import DOMAINS, ORIGINAL, POSTINGS, PREFIX_DOMAINS, TOKENS
 from ..session import reachable, stored
 
+#: Rows of a batch that goes back to the JVM.
+_BATCH = 50_000
 _ORDER = {"terms": ("domain", "index_name", "term"), "grams": ("domain", "index_name", "gram"), "stats": ()}
 
 
@@ -166,10 +171,55 @@ def last_write(docs: DataFrame, order: str) -> DataFrame:
     return docs.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
 
 
-def forward_positions(token_rows: DataFrame) -> DataFrame:
-    """(index_name, doc_id, term, spans): original spans of each term in token order."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "start", "end")))
-    return token_rows.filter(F.col("domain") == ORIGINAL).groupBy("index_name", "doc_id", "term").agg(F.transform(ordered, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+def _native_spans(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Byte spans of each term of a native text, in order."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    at = None if text.isascii() else byte_offsets(text)
+    for m in T.native_matches(text):
+        found.setdefault(m[0], []).append(m.span() if at is None else (int(at[m.start()]), int(at[m.end()])))
+    return found
+
+
+def _forward_rows(batches: Iterator[pa.RecordBatch], analyzer: Analyzer) -> Iterator[pa.RecordBatch]:
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    for batch in batches:
+        docs, terms, ends, starts, stops = [], [], [0], array("i"), array("i")
+
+        def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+            take = pa.array(docs, pa.int64())
+            spans = pa.StructArray.from_arrays([pa.array(np.frombuffer(x, np.int32)) for x in (starts, stops)], fields=list(span))
+            columns = [batch.column("index_name").take(take), batch.column("doc_id").take(take), pa.array(terms, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)]
+            return pa.RecordBatch.from_arrays(columns, names=["index_name", "doc_id", "term", "spans"])
+
+        for k, content in enumerate(batch.column("content")):
+            text = content.as_py() or ""
+            if not analyzer.tokenizers and T.native(text):
+                own = _native_spans(text)
+            else:
+                own = {}
+                for t in analyzer.tokens(text, derive=False):
+                    own.setdefault(t.term, []).append((t.start, t.end))
+            for term, found in own.items():
+                docs.append(k)
+                terms.append(term)
+                starts.extend([s for s, _ in found])
+                stops.extend([e for _, e in found])
+                ends.append(len(starts))
+            if len(starts) >= _BATCH:
+                yield made()
+                docs, terms, ends, starts, stops = [], [], [0], array("i"), array("i")
+        yield made()
+
+
+def forward_positions(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
+    """(index_name, doc_id, term, spans): original spans of each term in token order, in bytes.
+
+    A document's are gathered where it is read: nothing is exchanged, and a task holds those of one document
+    and a batch at most."""
+    reachable(docs.sparkSession)
+    rows = docs.select("index_name", "doc_id", "content")
+    schema = f"index_name string, doc_id {_id(docs)}, term string, spans array<struct<start: int, end: int>>"
+    return rows.mapInArrow(lambda b: _forward_rows(b, analyzer), schema)
 
 
 def derived_spans(token_rows: DataFrame) -> DataFrame:

@@ -292,7 +292,7 @@ def forward_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _starts(docs: DataFrame) -> DataFrame:
-    found = X.forward_positions(X.tokens(docs, Analyzer()))
+    found = X.forward_positions(docs, Analyzer())
     return found.select("doc_id", "term", F.array_join(F.transform("spans", lambda s: s["start"].cast("string")), " ").alias("starts"))
 
 
