@@ -53,14 +53,10 @@ def native_spans(content: Column, terms: Column, encoding: PositionEncoding) ->
     return F.aggregate(F.regexp_extract_all(content, F.lit(r"[\p{IsLatin}0-9]+|[^\p{IsLatin}0-9]+"), F.lit(0)), start, step)["found"]
 
 
-def highlight(documents: DataFrame, wanted: DataFrame, analyzer: Analyzer | None = None, encoding: PositionEncoding = PositionEncoding.UTF16) -> DataFrame:
-    """Spans of (query_id, index_name, doc_id, terms) in the documents: (…, nth, start, end) by start.
-
-    A term that stands in the text itself is shown there, another where it was derived from."""
-    reachable(documents.sparkSession)
-    analyzer, encoding = analyzer or Analyzer(), PositionEncoding(encoding)
-    rows = documents.filter("indexed").join(wanted, ["index_name", "doc_id"]).select("query_id", "index_name", "doc_id", "content", "terms")
-    kind = documents.schema["doc_id"].dataType.simpleString()
+def _shown(rows: DataFrame, analyzer: Analyzer, encoding: PositionEncoding) -> DataFrame:
+    """Spans of the terms of each row (query_id, index_name, doc_id, content, terms)."""
+    reachable(rows.sparkSession)
+    kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"query_id string, index_name string, doc_id {kind}, nth int, start int, end int"
     native = F.lit(False) if analyzer.tokenizers else F.coalesce(T.is_native(F.col("content")), F.lit(False))
     plain = rows.filter(native).select("query_id", "index_name", "doc_id", F.posexplode(native_spans(F.col("content"), F.col("terms"), encoding)).alias("nth", "span"))
@@ -68,6 +64,21 @@ def highlight(documents: DataFrame, wanted: DataFrame, analyzer: Analyzer | None
     return plain.unionByName(rows.filter(~native).mapInArrow(lambda b: _rows(b, analyzer, encoding), schema))
 
 
+def highlight(documents: DataFrame, wanted: DataFrame, analyzer: Analyzer | None = None, encoding: PositionEncoding = PositionEncoding.UTF16) -> DataFrame:
+    """Spans of (query_id, index_name, doc_id, terms) in the documents: (…, nth, start, end) by start.
+
+    A term that stands in the text itself is shown there, another where it was derived from."""
+    rows = documents.filter("indexed").join(wanted, ["index_name", "doc_id"]).select("query_id", "index_name", "doc_id", "content", "terms")
+    return _shown(rows, analyzer or Analyzer(), PositionEncoding(encoding))
+
+
+def highlight_everywhere(documents: DataFrame, terms: list[str], analyzer: Analyzer | None = None, encoding: PositionEncoding = PositionEncoding.UTF16, query_id: str = "q") -> DataFrame:
+    """``highlight`` of the same terms in every document: texts are searched where they are read, and none is exchanged."""
+    wanted = F.array(*map(F.lit, terms)).cast("array<string>")
+    rows = documents.filter("indexed").select(F.lit(query_id).alias("query_id"), "index_name", "doc_id", "content", wanted.alias("terms"))
+    return _shown(rows, analyzer or Analyzer(), PositionEncoding(encoding))
+
+
 def highlight_hits(documents: DataFrame, hits: DataFrame, analyzer: Analyzer | None = None, encoding: PositionEncoding = PositionEncoding.UTF16) -> DataFrame:
     """Spans of the matched terms of hits."""
     wanted = hits.select("query_id", "index_name", "doc_id", F.transform("matched_terms", lambda m: m["term"]).alias("terms"))

@@ -13,7 +13,7 @@ from .functions.analyzer import Analyzer
 from .functions.lexicon import DictionaryConfig, ScriptDictionary
 from .functions.pinyin import prefixes, variants
 from .operators import index as X
-from .operators.highlight import highlight
+from .operators.highlight import highlight, highlight_everywhere
 from .operators.index import Index
 from .operators.train import TrainingConfig, export, lexicon_counts
 from .plans import search as P
@@ -270,11 +270,8 @@ SELECT doc_id, CAST(start AS INTEGER) AS "start", CAST(start + {measure}(run) AS
 
 def _highlight(encoding: PositionEncoding) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = built(spark, sf_dir)
-        terms = ["license", "ecole", "idiot", "que"]
-        with_term = index.postings.filter(F.col("term").isin(terms)).select("index_name", "doc_id").distinct()
-        wanted = with_term.select(F.lit("q").alias("query_id"), "index_name", "doc_id", F.array(*map(F.lit, terms)).alias("terms"))
-        return highlight(index.documents, wanted, Analyzer(), encoding).select("doc_id", "start", "end")
+        docs = corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), "documents", "doc_id", "text")
+        return highlight_everywhere(docs, ["license", "ecole", "idiot", "que"], Analyzer(), encoding).select("doc_id", "start", "end")
 
     return run
 

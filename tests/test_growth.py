@@ -1,12 +1,19 @@
 """Steps that must not exchange or hold more than a document or a run of them, whatever the table's size."""
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
-from tessera import Analyzer
+from tessera import Analyzer, PositionEncoding, SearchIndex
 from tessera.operators import index as X
+from tessera.operators.highlight import highlight, highlight_everywhere
 from tessera.queries import QUERIES
 from tessera.schema import ORIGINAL
+from tessera.sources.snapshot import read_snapshot, write_snapshot
 
 ROOT = "/root/testdata/sf0.001"
 ODD = [None, "", "—…", "Élan straße élan x_2-y", "x" * 9 + "7 9", "a" + "_-" * 9 + "b", "你好世界 hello 你好", "ünï 😀 ünï", "ªº café"]
@@ -31,3 +38,12 @@ def test_positions_are_gathered_where_a_document_is_read(spark, odd):
     got = X.forward_positions(odd, Analyzer())
     assert {(r["doc_id"], r["term"]): [tuple(s) for s in r["spans"]] for r in got.collect()} == want
     assert X.forward_positions(odd.filter("doc_id < 2"), Analyzer()).count() == 0
+
+
+@pytest.mark.parametrize("encoding", list(PositionEncoding))
+def test_highlights_everywhere_exchange_no_text(spark, odd, encoding):
+    assert "Exchange" not in plan(QUERIES["highlight_bytes"](spark, ROOT))
+    terms = ["elan", "hello", "nihao", "ünï", "cafe", "uni"]
+    wanted = odd.select(F.lit("q").alias("query_id"), "index_name", "doc_id", F.array(*map(F.lit, terms)).alias("terms"))
+    got, want = highlight_everywhere(odd, terms, encoding=encoding).collect(), highlight(odd, wanted, encoding=encoding).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["doc_id"] for r in got} == {3, 6, 7, 8}
