@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from ..functions.analyzer import Analyzer, byte_offsets
 from ..schema import DOMAINS, ORIGINAL, POSTINGS, PREFIX_DOMAINS, TOKENS
 from ..session import reachable, stored
 
-#: Rows of a batch that goes back to the JVM.
-_BATCH = 50_000
+#: Postings that are sorted together, and rows of a batch that goes back to the JVM.
+_RUN, _BATCH = 1_000_000, 50_000
 _ORDER = {"terms": ("domain", "index_name", "term"), "grams": ("domain", "index_name", "gram"), "stats": ()}
 
 
@@ -54,23 +55,93 @@ def native_terms(docs: DataFrame) -> DataFrame:
     return docs.select("index_name", "doc_id", F.explode(T.latin_terms(F.col("content"))).alias("term"))
 
 
-def postings(docs: DataFrame, analyzer: Analyzer) -> DataFrame:
+class _Codes(dict):
+    """Numbers of terms in the order in which they are met."""
+
+    def __missing__(self, term: str) -> int:
+        self[term] = len(self)
+        return self[term]
+
+
+class _Run:
+    """Postings of some documents, given out sorted by domain, index and term."""
+
+    def __init__(self, id_type: pa.DataType):
+        self.id_type = id_type
+        self.names, self.ids, self.size = [], [], 0
+        #: by domain: terms, and of each document its place, its terms' codes and frequencies
+        self.domains: dict[str, tuple[_Codes, list[int], list[int], array, array]] = {}
+
+    def add(self, name: str, doc_id: object, counts: dict[str, dict[str, int]]) -> None:
+        for domain, freq in counts.items():
+            if freq:
+                seen, places, sizes, codes, tfs = self.domains.setdefault(domain, (_Codes(), [], [], array("i"), array("q")))
+                places.append(len(self.ids))
+                sizes.append(len(freq))
+                codes.extend(map(seen.__getitem__, freq))
+                tfs.extend(freq.values())
+                self.size += len(freq)
+        self.names.append(name)
+        self.ids.append(doc_id)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        names, ids = pa.array(self.names, pa.string()), pa.array(self.ids, self.id_type)
+        name_rank = np.unique(np.array(self.names, dtype=object).astype(str), return_inverse=True)[1] if self.names else np.zeros(0, np.int64)
+        for domain in sorted(self.domains):
+            seen, places, sizes, codes, tfs = self.domains[domain]
+            terms, sizes, tf = pa.array(list(seen), pa.string()), np.array(sizes), np.frombuffer(tfs, np.int64)
+            rank = np.empty(len(terms), np.int64)
+            rank[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms))
+            code, doc = np.frombuffer(codes, np.int32), np.repeat(np.array(places), sizes)
+            dl = np.repeat(np.add.reduceat(tf, np.concatenate([[0], np.cumsum(sizes)[:-1]])), sizes)
+            order = np.argsort(name_rank[doc] * len(terms) + rank[code], kind="stable")
+            for k in range(0, len(order), _BATCH):
+                at = order[k : k + _BATCH]
+                own = pa.array(doc[at])
+                columns = [names.take(own), pa.array([domain] * len(at), pa.string()), terms.take(pa.array(code[at])), ids.take(own), pa.array(tf[at]), pa.array(dl[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["index_name", "domain", "term", "doc_id", "tf", "dl"])
+
+
+def _posting_rows(batches: Iterator[pa.RecordBatch], analyzer: Analyzer) -> Iterator[pa.RecordBatch]:
+    run = None
+    for batch in batches:
+        run = run or _Run(batch.column("doc_id").type)
+        for name, doc_id, content in zip(batch.column("index_name").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("content")):
+            text = content.as_py()
+            if not analyzer.tokenizers and T.native(text):
+                counts = {ORIGINAL: Counter(T.native_words(text))}
+            else:
+                counts = {}
+                for t in analyzer.tokens(text):
+                    counts.setdefault(t.domain, Counter())[t.term] += 1
+            run.add(name, doc_id, counts)
+            if run.size >= _RUN or len(run.ids) >= _RUN:
+                yield from run.batches()
+                run = _Run(run.id_type)
+    if run is not None:
+        yield from run.batches()
+
+
+def postings(docs: DataFrame, analyzer: Analyzer, unique: bool = False) -> DataFrame:
     """(index_name, domain, term, doc_id, tf, dl); dl: tokens of the document in the domain.
 
-    Texts in Latin script are cut by the JVM; the rest go through the analyzer.  Rows are
-    partitioned by document first, so that counting terms needs no second exchange.
+    A document is counted where it is read, so neither texts nor postings are exchanged and a task holds
+    one run of postings at a time.  Runs are sorted by domain, index and term.  ``unique``: no id occurs
+    twice; else that is looked up first, and rows of one id are counted as one document.
     """
-    rows = docs.filter("indexed and content is not null").select("index_name", "doc_id", "content").repartition("index_name", "doc_id")
-    custom = bool(analyzer.tokenizers)
-    native = F.lit(False) if custom else T.is_native(F.col("content"))
-    plain = native_terms(rows.filter(native)).select("index_name", "doc_id", "term", F.lit(ORIGINAL).alias("domain"))
-    general = tokens(rows.filter(~native), analyzer).select("index_name", "doc_id", "term", "domain").repartition("index_name", "doc_id")
-    own = Window.partitionBy("index_name", "doc_id", "domain")
-
-    def counted(df: DataFrame) -> DataFrame:
-        return df.groupBy("index_name", "doc_id", "domain", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("dl", F.sum("tf").over(own))
-
-    return counted(plain).unionByName(counted(general)).select("index_name", "domain", "term", "doc_id", "tf", "dl")
+    reachable(docs.sparkSession)
+    keys = ["index_name", "doc_id"]
+    rows = docs.filter("indexed and content is not null").select(*keys, "content")
+    found = rows.mapInArrow(lambda b: _posting_rows(b, analyzer), POSTINGS.format(id=_id(docs)))
+    if unique:
+        return found
+    again = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("index_name").alias("name"), F.col("doc_id").alias("id"))
+    if again.isEmpty():
+        return found
+    same = F.col("index_name").eqNullSafe(F.col("name")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    one = found.join(again, same, "left_semi").groupBy("index_name", "domain", "term", "doc_id").agg(F.sum("tf").alias("tf"))
+    one = one.withColumn("dl", F.sum("tf").over(Window.partitionBy(*keys, "domain")))
+    return found.join(again, same, "left_anti").unionByName(one)
 
 
 @dataclass
@@ -81,6 +152,8 @@ class Index:
     postings: DataFrame
     #: (index_name, doc_id) of documents whose terms fuzzy search no longer finds; None: of none.
     cleared: DataFrame | None = None
+    #: Whether the postings are in sorted runs already.
+    in_runs: bool = False
     _kept: dict = field(default_factory=dict, repr=False)
 
     def kept(self, name: str) -> DataFrame:
@@ -99,13 +172,16 @@ class Index:
         return self._kept["rows"]
 
     @classmethod
-    def build(cls, documents: DataFrame, analyzer: Analyzer | None = None) -> Index:
-        return cls(documents, postings(documents, analyzer or Analyzer()))
+    def build(cls, documents: DataFrame, analyzer: Analyzer | None = None, unique: bool = False) -> Index:
+        return cls(documents, postings(documents, analyzer or Analyzer(), unique), in_runs=True)
 
     def store(self) -> Index:
-        """The same, with postings in files by domain, each sorted by term."""
-        by = ["index_name", "domain", "term"]
-        return Index(self.documents, stored(self.postings.repartition(*by), "domain", "index_name", "term", partition=("domain",)), self.cleared)
+        """The same, with postings in files, in which they are sorted by domain, index and term, or in runs that are."""
+        return Index(self.documents, stored(self.postings, *self.order()), self.cleared, True)
+
+    def order(self) -> tuple[str, ...]:
+        """By what the postings are still to be sorted within files."""
+        return () if self.in_runs else ("domain", "index_name", "term")
 
     def clear(self, index_name: str, only_dictionaries: bool = False) -> Index:
         """Without the documents of an index; or with them, but unknown to fuzzy search until written again."""
@@ -151,10 +227,10 @@ class Index:
     def get_doc(self, index_name: str, doc_id: object) -> DataFrame:
         return self.documents.filter((F.col("index_name") == index_name) & (F.col("doc_id") == doc_id)).select("content")
 
-    def upsert(self, changed: DataFrame, analyzer: Analyzer | None = None) -> Index:
+    def upsert(self, changed: DataFrame, analyzer: Analyzer | None = None, unique: bool = False) -> Index:
         """Replace or add documents (index_name, doc_id, content, indexed)."""
         rest = self.remove(changed.select("index_name", "doc_id"))
-        new = Index.build(changed, analyzer)
+        new = Index.build(changed, analyzer, unique)
         return Index(rest.documents.unionByName(new.documents), rest.postings.unionByName(new.postings), rest.cleared)
 
     def remove(self, ids: DataFrame) -> Index:

@@ -40,6 +40,58 @@ def test_positions_are_gathered_where_a_document_is_read(spark, odd):
     assert X.forward_positions(odd.filter("doc_id < 2"), Analyzer()).count() == 0
 
 
+@pytest.fixture
+def writes(monkeypatch):
+    """Plans of what is written as Parquet."""
+    seen, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (seen.append(plan(self._df)), write(self, *a, **k))[1])
+    return seen
+
+
+def counted(docs):
+    """(index, domain, term, id) -> (tf, dl) by the analyzer alone."""
+    tf = Counter((i, t.domain, t.term, k) for i, k, text, _ in docs for t in Analyzer().tokens(text or ""))
+    dl = Counter()
+    for (i, domain, _, k), n in tf.items():
+        dl[i, domain, k] += n
+    return {key: (n, dl[key[0], key[1], key[3]]) for key, n in tf.items()}
+
+
+def as_counted(rows):
+    return {(r["index_name"], r["domain"], r["term"], r["doc_id"]): (r["tf"], r["dl"]) for r in rows}
+
+
+def test_postings_are_counted_and_written_without_exchange(spark, odd, writes):
+    stored = X.Index.build(odd).store()
+    assert len(writes) == 1 and "Exchange" not in writes[0] and "Sort" not in writes[0]
+    rows = stored.postings.collect()
+    assert as_counted(rows) == counted(odd.collect()) and len(rows) == len(as_counted(rows))
+
+
+def test_a_task_holds_a_run_of_postings(monkeypatch):
+    monkeypatch.setattr(X, "_RUN", 3)
+    names = ["i" if k % 2 else "j" for k in range(len(ODD) - 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(range(len(names)), pa.int64()), pa.array(ODD[1:])], names=["index_name", "doc_id", "content"])
+    made = [b.to_pylist() for b in X._posting_rows(iter([batch]), Analyzer())]
+    assert len(made) > 3
+    for rows in made:
+        keys = [(r["domain"], r["index_name"], r["term"].encode()) for r in rows]
+        assert keys == sorted(keys)
+    assert as_counted([r for rows in made for r in rows]) == counted([(i, k, t, True) for k, (i, t) in enumerate(zip(names, ODD[1:]))])
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [("i", 1, "go go on", True), ("i", 1, "go off", True), ("i", 2, "go", True), ("i", None, "on", True), ("i", None, "on", True)]
+    docs = spark.createDataFrame(rows, "index_name string, doc_id bigint, content string, indexed boolean")
+    assert as_counted(X.Index.build(docs).postings.collect()) == {
+        ("i", ORIGINAL, "go", 1): (3, 5),
+        ("i", ORIGINAL, "on", 1): (1, 5),
+        ("i", ORIGINAL, "off", 1): (1, 5),
+        ("i", ORIGINAL, "go", 2): (1, 1),
+        ("i", ORIGINAL, "on", None): (2, 2),
+    }
+
+
 @pytest.mark.parametrize("encoding", list(PositionEncoding))
 def test_highlights_everywhere_exchange_no_text(spark, odd, encoding):
     assert "Exchange" not in plan(QUERIES["highlight_bytes"](spark, ROOT))
