@@ -13,16 +13,19 @@ from ..schema import SNAPSHOT_VERSION
 
 
 def write_snapshot(index: Index, path: str, index_name: str, lexicon_version: str | None = None) -> None:
-    """documents, postings (by domain, sorted by term), stats and a one-row meta table."""
+    """documents, postings, stats and a one-row meta table.
+
+    Postings are sorted by domain and term within files or runs of files, as in ``Index.store``; they aren't
+    exchanged.  Snapshots with a folder for each domain can be read too."""
     docs = index.documents.filter(F.col("index_name") == index_name)
     postings = index.postings.filter(F.col("index_name") == index_name)
     one = Index(docs, postings)
 
-    def put(df: DataFrame, name: str, *by: str) -> None:
-        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{path}/{name}")
+    def put(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
 
     put(docs, "documents")
-    put(postings.repartitionByRange("domain", "term").sortWithinPartitions("domain", "term"), "postings", "domain")
+    put(postings.sortWithinPartitions(*by) if (by := index.order()) else postings, "postings")
     put(one.stats(), "stats")
     put(docs.sparkSession.createDataFrame([(SNAPSHOT_VERSION, index_name, lexicon_version)], "version int, index_name string, lexicon_version string").coalesce(1), "meta")
 

@@ -99,3 +99,20 @@ def test_highlights_everywhere_exchange_no_text(spark, odd, encoding):
     wanted = odd.select(F.lit("q").alias("query_id"), "index_name", "doc_id", F.array(*map(F.lit, terms)).alias("terms"))
     got, want = highlight_everywhere(odd, terms, encoding=encoding).collect(), highlight(odd, wanted, encoding=encoding).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["doc_id"] for r in got} == {3, 6, 7, 8}
+
+
+def test_snapshots_exchange_no_postings(spark, odd, writes, tmp_path):
+    built = X.Index.build(odd).store()
+    writes.clear()
+    write_snapshot(built, str(tmp_path), "i")
+    postings = [p for p in writes if "term" in p and "sum" not in p]
+    assert len(postings) == 1 and "Exchange" not in postings[0] and "Sort" not in postings[0]
+    rows = read_snapshot(spark, str(tmp_path)).postings.collect()
+    assert as_counted(rows) == {k: v for k, v in counted(odd.collect()).items() if k[0] == "i"}
+
+
+def test_snapshots_of_changed_indexes_are_sorted(spark, odd, writes, tmp_path):
+    changed = X.Index.build(odd).remove(odd.filter("doc_id = 3"))
+    write_snapshot(changed, str(tmp_path), "i")
+    assert any("Sort [domain" in p for p in writes)
+    assert 3 not in {r["doc_id"] for r in read_snapshot(spark, str(tmp_path)).postings.collect()}
