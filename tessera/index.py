@@ -78,7 +78,7 @@ class SearchIndex:
         docs = docs if "seq" in docs.columns else docs.withColumn("seq", F.monotonically_increasing_id())
         docs = last_write(docs, "seq")
         docs = docs.select("index_name", F.col("doc_id").cast(self.id_type).alias("doc_id"), "content", "indexed", F.lit(len(self._past) - 1).alias("analyzer"))
-        self._index = self._index.upsert(docs, self.analyzer)
+        self._index = self._index.upsert(docs, self.analyzer, unique=True)
         self._known |= {r[0] for r in docs.select("index_name").distinct().collect()}
         self._changed(docs.select("index_name", "doc_id"), "dirty")
 
@@ -124,8 +124,9 @@ class SearchIndex:
     def take_dirty_and_deleted(self) -> tuple[DataFrame, DataFrame]:
         """(index_name, doc_id, content, doc_len) of changed and (index_name, doc_id) of removed
         documents of all indexes; both are then forgotten."""
-        lens = self._index.doc_lens().filter("domain = 'original'").select("index_name", "doc_id", F.col("len").alias("doc_len"))
         key = ["index_name", "doc_id"]
+        # one row a key, so that Spark leaves the join out where doc_len isn't read
+        lens = self._index.postings.filter("domain = 'original'").groupBy(*key).agg(F.sum("tf").alias("doc_len"))
         dirty = self._changes.filter("op = 'dirty'").join(self._index.documents, key).join(lens, key, "left")
         dirty = dirty.select(*key, "content", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
         deleted = self._changes.filter("op = 'deleted'").select(*key)

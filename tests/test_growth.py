@@ -116,3 +116,15 @@ def test_snapshots_of_changed_indexes_are_sorted(spark, odd, writes, tmp_path):
     write_snapshot(changed, str(tmp_path), "i")
     assert any("Sort [domain" in p for p in writes)
     assert 3 not in {r["doc_id"] for r in read_snapshot(spark, str(tmp_path)).postings.collect()}
+
+
+def test_changes_without_lengths_tokenize_nothing(spark, odd, monkeypatch):
+    monkeypatch.setattr("tessera.queries.built", None)
+    assert "MapInArrow" not in plan(QUERIES["dirty_deleted"](spark, ROOT))
+    store = SearchIndex(spark, Analyzer(), id_type="bigint")
+    store.add_docs(odd)
+    dirty, _ = store.take_dirty_and_deleted()
+    length = Counter()
+    for (_, domain, _, k), (n, _) in counted(odd.collect()).items():
+        length[k] += n * (domain == ORIGINAL)
+    assert {r["doc_id"]: r["doc_len"] for r in dirty.collect()} == {k: length[k] for k in range(len(ODD))}
