@@ -329,7 +329,7 @@ def remove_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("staged_docs_stats", f"WITH {_base(text="CASE WHEN lang <> 'fr' THEN text END")} SELECT n, CAST((SELECT sum(tf) FROM tf) AS BIGINT) AS total, round(avgdl, 6) AS avgdl FROM st")
 def staged_docs_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs = corpus(table, "documents", "doc_id", "text").drop("indexed").join(table.select("doc_id", F.expr("lang <> 'fr'").alias("indexed")), "doc_id")
+    docs = corpus(table.withColumn("kept", F.expr("lang <> 'fr'")), "documents", "doc_id", "text", "kept")
     return Index.build(docs).stats().select("n", "total", F.round("avgdl", 6).alias("avgdl"))
 
 

@@ -68,6 +68,7 @@ def snapshot_version() -> int:
     return SNAPSHOT_VERSION
 
 
-def corpus(df: DataFrame, index_name: str, id_col: str, text_col: str) -> DataFrame:
-    """Any table as documents (index_name, doc_id, content, indexed)."""
-    return df.select(F.lit(index_name).alias("index_name"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"), F.lit(True).alias("indexed"))
+def corpus(df: DataFrame, index_name: str, id_col: str, text_col: str, indexed_col: str | None = None) -> DataFrame:
+    """Any table as documents (index_name, doc_id, content, indexed); ``indexed_col``: null or false where staged only."""
+    indexed = F.lit(True) if indexed_col is None else F.coalesce(F.col(indexed_col), F.lit(False))
+    return df.select(F.lit(index_name).alias("index_name"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"), indexed.alias("indexed"))

@@ -128,3 +128,8 @@ def test_changes_without_lengths_tokenize_nothing(spark, odd, monkeypatch):
     for (_, domain, _, k), (n, _) in counted(odd.collect()).items():
         length[k] += n * (domain == ORIGINAL)
     assert {r["doc_id"]: r["doc_len"] for r in dirty.collect()} == {k: length[k] for k in range(len(ODD))}
+
+
+def test_staged_documents_are_not_joined(spark):
+    found = plan(QUERIES["staged_docs_stats"](spark, ROOT))
+    assert not re.search(r"hashpartitioning\([^)]*doc_id", found)
