@@ -147,7 +147,8 @@ def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.scoring import idf
 
     index = built(spark, sf_dir)
-    return index.terms().join(index.stats().select("index_name", "domain", "n"), ["index_name", "domain"]).select("term", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    stats = F.broadcast(index.kept("stats").select("index_name", "domain", "n"))
+    return index.terms().join(stats, ["index_name", "domain"]).select("term", F.round(idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 # exact search

@@ -133,3 +133,13 @@ def test_changes_without_lengths_tokenize_nothing(spark, odd, monkeypatch):
 def test_staged_documents_are_not_joined(spark):
     found = plan(QUERIES["staged_docs_stats"](spark, ROOT))
     assert not re.search(r"hashpartitioning\([^)]*doc_id", found)
+
+
+def test_terms_are_not_gathered_in_one_task_for_their_statistics(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = plan(QUERIES["idf_table"](spark, ROOT))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in found and re.findall(r"hashpartitioning\((\w+)#\d+, (\w+)#\d+, (\w+)", found) == [("index_name", "domain", "term")]
