@@ -436,7 +436,8 @@ _OLD = "CASE WHEN lang = 'es' THEN NULL WHEN lang = 'fr' THEN 0 ELSE {0} END"
 @_register("length_recovery", f"WITH {_base()} SELECT doc_id, CAST(coalesce(dl, n_chars) AS BIGINT) AS len FROM documents LEFT JOIN dl USING (doc_id) WHERE coalesce(dl, n_chars) > 0")
 def length_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = built(spark, sf_dir).postings.join(table.select("doc_id", "lang"), "doc_id").withColumn("dl", F.expr(_OLD.format("dl")))
+    own = built(spark, sf_dir).postings.groupBy("index_name", "domain", "doc_id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+    rows = own.join(table.select("doc_id", "lang"), "doc_id").withColumn("dl", F.expr(_OLD.format("dl")))
     docs = table.select(F.lit("documents").alias("index_name"), "doc_id", F.col("n_chars").alias("doc_len"))
     return X.doc_lengths(docs, rows.drop("lang")).select("doc_id", "len")
 

@@ -143,3 +143,9 @@ def test_terms_are_not_gathered_in_one_task_for_their_statistics(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "SortMergeJoin" not in found and re.findall(r"hashpartitioning\((\w+)#\d+, (\w+)#\d+, (\w+)", found) == [("index_name", "domain", "term")]
+
+
+def test_lengths_are_summed_before_documents_are_joined(spark):
+    found = plan(QUERIES["length_recovery"](spark, ROOT))
+    below = found[found.index("Join") :]
+    assert re.search(r"HashAggregate\(keys=\[index_name#\d+, domain#\d+, doc_id#\d+L\], functions=\[partial_sum\(tf", below)
