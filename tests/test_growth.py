@@ -149,3 +149,9 @@ def test_lengths_are_summed_before_documents_are_joined(spark):
     found = plan(QUERIES["length_recovery"](spark, ROOT))
     below = found[found.index("Join") :]
     assert re.search(r"HashAggregate\(keys=\[index_name#\d+, domain#\d+, doc_id#\d+L\], functions=\[partial_sum\(tf", below)
+
+
+def test_a_search_exchanges_no_postings_for_its_index(spark, writes):
+    QUERIES["auto_route_ascii"](spark, f"{ROOT}/")  # a path of its own, so that the index is built here
+    postings = [p for p in writes if "MapInArrow" in p]
+    assert len(postings) == 1 and "Exchange" not in postings[0] and "Sort" not in postings[0]
